@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, exact_dedup, minhash, mixing, quality, token_store
+from . import bpe, exact_dedup, minhash, mixing, quality, substring, token_store
 from .store import new_path
 
 
@@ -39,6 +39,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", *quality.METRICS, "base_failed", "kept")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bpe.encode_decode(table(spark, sf_dir, "documents"))
     return df.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_token_store": op4_token_store,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring": op8_substring,
     "op9_bpe": op9_bpe,
 }
 
@@ -85,4 +91,28 @@ SQL: dict[str, str] = {
         SELECT doc_id, topic, n AS n_words, round(least(1.0, ratio * scale), 6) AS probability,
                CAST('0x' || substr(md5('mix:' || doc_id), 1, 12) AS BIGINT) / pow(16, 12) < least(1.0, ratio * scale) AS kept
         FROM t JOIN q USING (source, lang, topic) CROSS JOIN k""",
+    "op7_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM p),
+        v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+        m AS (
+          SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                 (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                 (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                  - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+                 coalesce(v.n, 0)::BIGINT AS n_repeat_words
+          FROM d LEFT JOIN v ON d.doc_id = v.doc_id)
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
+                    OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR (n_dup_lines >= 5 AND 20 * n_dup_lines > n_words)) AS kept
+        FROM m""",
+    "op8_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(win, ' ')) AS first FROM p),
+        g AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM f, (SELECT unnest(range(0, 13)) AS k) WHERE first < doc_id GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
 }
