@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, exact_dedup, minhash, mixing, quality, substring, token_store
+from . import bpe, exact_dedup, hmm, minhash, mixing, quality, substring, token_store
 from .store import new_path
 
 
@@ -34,6 +34,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest_tokens(spark, where)
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_words", *quality.METRICS, "base_failed", "kept")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
     "op4_token_store": op4_token_store,
+    "op5_hmm": op5_hmm,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring": op8_substring,
     "op9_bpe": op9_bpe,
