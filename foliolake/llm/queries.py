@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, exact_dedup, hmm, minhash, mixing, quality, substring, token_store
+from . import bpe, exact_dedup, hmm, license, minhash, mixing, pii, quality, substring, token_store
 from .store import new_path
 
 
@@ -38,6 +38,14 @@ def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pii.find(table(spark, sf_dir, "documents"))
+    sure = F.filter("spans", lambda x: x["base"])
+    counts = [F.expr(f"size(filter(spans, x -> x.base AND x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return df.select("doc_id", *counts, F.sha2(joined(sure).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_words", *quality.METRICS, "base_failed", "kept")
@@ -53,15 +61,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
     "op4_token_store": op4_token_store,
     "op5_hmm": op5_hmm,
+    "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring": op8_substring,
     "op9_bpe": op9_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
