@@ -7,10 +7,12 @@
    full one, chosen by its own sequence of random bins that all texts share.
 3. Classes that agree in all rows of a band share a bucket. A bucket proposes a star:
    its smallest member with each other one, so pairs are linear in the bucket.
-4. Pairs are confirmed on the full sets, components are joined, and buckets that still
-   hold several components propose further stars, with the next 2, 4, 8 ... members as
-   centres, until no bucket has an untried pair across components. So every pair that
-   shares a bucket is either tried or already in one component.
+4. Pairs are confirmed on the full sets and components are joined. Most buckets are then
+   within one component and done.
+5. Members of buckets that still hold several components form families (documents linked
+   by such buckets). A family's sets meet in blocks of bounded size, where inverted lists
+   of the shingles find the links that are left across components; only links leave a
+   block. So every pair that shares a bucket is either tried or in one component already.
 
 With 4 rows and 32 bands a pair at exactly the threshold 0.8 shares no bucket with
 probability (1 - 0.8^4)^32 < 5e-8.
@@ -29,10 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .kernels import Texts, U, chunks, mix, shingle_sets
-from .store import keep
+from .store import keep, release
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
@@ -122,6 +123,82 @@ def _confirm(words: int, percent: int):
     return run
 
 
+BLOCK_DOCS, BLOCK_SHINGLES = 2000, 2_000_000
+
+
+def across(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different labels, as places; as few as join what belongs
+    together. Walks the inverted lists of each set's shingles."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    _, code = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(code, kind="stable")
+    posting, head = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+    ends = np.append(0, np.cumsum(size))
+    names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    label = np.array([names[x] for x in labels])
+    links = []
+    for i in range(len(sets)):
+        codes = code[ends[i] : ends[i + 1]]
+        lengths = head[codes + 1] - head[codes]
+        lengths = lengths[lengths > 0]
+        starts = head[codes][head[codes + 1] > head[codes]]
+        places = np.repeat(starts - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+        both = np.bincount(posting[places], minlength=len(sets))
+        good = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (label != label[i]))
+        for j in good.tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _blocks(words: int, percent: int):
+    """Rows of one block after the other -> the links found in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, labels, sets = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            found = across(sets, labels, percent) if len(set(labels)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                made = shingle_sets(Texts(part["text"], lower=True), words)
+                for key, d, c, s in zip(part["block"].to_pylist(), part["doc_id"].to_pylist(), part["component"].to_pylist(), made, strict=True):
+                    if key != now:
+                        if ids:
+                            yield done()
+                        now, ids, labels, sets = key, [], [], []
+                    ids.append(d)
+                    labels.append(c)
+                    sets.append(s)
+        if ids:
+            yield done()
+
+    return run
+
+
+def _left_links(buckets: DataFrame, parts: DataFrame, sizes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links between members of one bucket that the stars left in different components."""
+    label = buckets.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("doc_id").alias("centre")).where("a <> b").select("key", "centre")
+    left = keep(label.join(mixed, "key").select("centre", "doc_id", "component").distinct(), "left")
+    if left.isEmpty():
+        return None
+    family = components(left.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"))).withColumnsRenamed({"id": "doc_id", "component": "family"})
+    member = keep(left.select("doc_id", "component").distinct().join(family, "doc_id").join(sizes, "doc_id"), "family")
+    cut = member.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
+    placed = member.join(cut, "family").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+    # a document meets every block of its family: one row for each
+    dealt = placed.select("doc_id", "component", "family", "b", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("c"))
+    dealt = dealt.select("doc_id", "component", F.concat_ws(":", "family", F.least("b", "c"), F.greatest("b", "c")).alias("block"))
+    rows = dealt.join(source, "doc_id").repartition("block").sortWithinPartitions("block", "doc_id")
+    return rows.select("block", "doc_id", "component", "text").mapInArrow(_blocks(words, percent), "u long, v long")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(u, v) -> (id, component): the smallest id reachable, for ids with a link.
     Alternating large-star and small-star steps; each halves the depth of the trees
@@ -155,36 +232,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, ban
     member = known.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     member = keep(member, "member")
     keys = known.select("doc_id", F.explode("keys").alias("key")).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
-    links, at, width, parts = None, 0, 1, []
-    buckets = None
-    while True:
-        if buckets is None:
-            # the first star needs no order in the bucket, only its smallest member
-            centre = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-            buckets = keep(keys.join(centre, "key"), "buckets")
-            tries = buckets.where("doc_id <> centre").select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct()
-        else:
-            # buckets in which several components are left; other buckets are done
-            label = buckets.join(parts_of.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")) if parts_of is not None else buckets.withColumn("component", F.col("doc_id"))
-            label = label.select("key", "doc_id", "component")
-            mixed = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where(f"a <> b AND size > {at}").select("key")
-            left = keep(label.join(mixed, "key"), "left")
-            if left.isEmpty():
-                break
-            order = Window.partitionBy("key").orderBy("doc_id")
-            place = left.withColumn("place", F.row_number().over(order))
-            centres = place.where(f"place > {at} AND place <= {at + width}").select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("place").alias("pu"))
-            tries = place.join(centres, "key").where("place > pu AND component <> cu").select("u", F.col("doc_id").alias("v")).distinct()
-            buckets = left.select("key", "doc_id")
-        at, width = at + width, width * 2
-        tries = keep(tries, "tries")
-        used = tries.select("u").union(tries.select("v")).distinct()
-        body = keep(source.join(used.withColumnRenamed("u", "doc_id"), "doc_id", "left_semi"), "bodies")
-        pairs = tries.join(body.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")), "v")
-        pairs = pairs.join(body.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")), "u")
-        found = keep(pairs.select("u", "v", "ut", "vt").mapInArrow(_confirm(words, percent), "u long, v long"), "links")
-        links = found if links is None else keep(links.unionByName(found), "links")
-        parts_of = keep(components(links), "parts")
+    centre = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", "centre")
+    buckets = keep(keys.join(centre, "key"), "buckets")
+    tries = keep(buckets.where("doc_id <> centre").select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct(), "tries")
+    release(spark)
+    used = tries.select("u").union(tries.select("v")).distinct()
+    body = keep(source.join(used.withColumnRenamed("u", "doc_id"), "doc_id", "left_semi"), "bodies")
+    release(spark)
+    pairs = tries.join(body.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")), "v")
+    pairs = pairs.join(body.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")), "u")
+    links = keep(pairs.select("u", "v", "ut", "vt").mapInArrow(_confirm(words, percent), "u long, v long"), "links")
+    release(spark)
+    more = _left_links(buckets, keep(components(links), "parts"), known.select("doc_id", "n"), body, words, percent)
+    links = links.unionByName(keep(more, "more")) if more is not None else links
     every = components(links.unionByName(member))
     out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(every.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
