@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, ban
     tries = keep(buckets.where("doc_id <> centre").select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct(), "tries")
     release(spark)
     used = tries.select("u").union(tries.select("v")).distinct()
-    body = keep(source.join(used.withColumnRenamed("u", "doc_id"), "doc_id", "left_semi"), "bodies")
+    body = keep(source.join(used.withColumnRenamed("u", "doc_id").hint("merge"), "doc_id", "left_semi"), "bodies")
     release(spark)
     pairs = tries.join(body.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")), "v")
     pairs = pairs.join(body.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")), "u")
