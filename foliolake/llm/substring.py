@@ -33,7 +33,7 @@ from .kernels import Texts, U, chunks, grams, mix
 from .store import keep, release
 
 WINDOW, GRAM, HOT = 13, 5, 1000
-RUN = 63  # windows in a context at most: their marks are the bits of a long
+RUN = 62  # windows in a context at most: their marks are bits of a long, below its sign
 
 
 class Automaton:
