@@ -19,10 +19,26 @@ def _class(kind: str) -> str:
 
 L, N, S = _class("L"), _class("N"), "\t-\r\x20\xa0"
 _TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Byte-level: an optional blank before a run of one class.
-byte_level = re.compile(f"{_TAILS}| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+").findall
-#: Word-level: runs of letters, single digits, runs of others; blanks are dropped.
-word_level = re.compile(f"{_TAILS}|[{L}]+|[{N}]|[^{S}{L}{N}]+").findall
+
+
+def _patterns(letters: str, numbers: str, blanks: str) -> tuple:
+    """Byte-level: an optional blank before a run of one class. Word-level: runs of
+    letters, single digits, runs of others; blanks are dropped."""
+    byte = f"{_TAILS}| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+    word = f"{_TAILS}|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+"
+    return re.compile(byte).findall, re.compile(word).findall
+
+
+_BYTE, _WORD = _patterns(L, N, S)
+_BYTE_ASCII, _WORD_ASCII = _patterns("A-Za-z", "0-9", "\t-\r ")
+
+
+def byte_level(text: str) -> list[str]:
+    return (_BYTE_ASCII if text.isascii() else _BYTE)(text)
+
+
+def word_level(text: str) -> list[str]:
+    return (_WORD_ASCII if text.isascii() else _WORD)(text)
 
 
 def plain(text: str) -> bool:
