@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,10 +42,6 @@ def align(truth: DataFrame, found: DataFrame, keys: list[str], text: str = "text
 
 def fuzzy(a: Column, b: Column) -> Column:
     """Similarity of two texts as matching blocks of their characters, case-folded."""
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else round(SequenceMatcher(None, p.lower(), q.lower()).ratio(), 6) for p, q in zip(x, y, strict=True)], dtype="float64")
