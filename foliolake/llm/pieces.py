@@ -41,7 +41,12 @@ def word_level(text: str) -> list[str]:
     return (_WORD_ASCII if text.isascii() else _WORD)(text)
 
 
+_USUAL = bytes([*range(9, 14), *range(32, 127)])
+
+
 def plain(text: str) -> bool:
+    if text.isascii():
+        return not text.encode().translate(None, _USUAL)
     return _ODD.search(text) is None
 
 

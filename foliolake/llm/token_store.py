@@ -40,7 +40,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache = Cache()
+        self.cache = Cache(400_000)
         self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -99,7 +99,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end: int = E
     df = df.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     df = df.mapInArrow(_encode(path, end), SCHEMA).select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "ids")
     # dictionary pages hold a group's distinct ids; page indexes are written with each file
-    df.write.options(**{"parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(group_bytes), "parquet.page.row.count.limit": str(page_rows), "compression": "zstd"}).parquet(to)
+    df.write.options(**{"parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(group_bytes), "parquet.page.row.count.limit": str(page_rows), "compression": "snappy"}).parquet(to)
 
 
 def read_starts(spark: SparkSession, where: str) -> DataFrame:
