@@ -121,6 +121,19 @@ def _seeds(window: int, gram: int):
 CONTEXT = "seed long, context long, doc_id long, at int, words binary"
 
 
+_M = 0x9E3779B97F4A7C15
+_INVERSE = pow(_M, -1, 1 << 64)
+BYTES = 6  # of a word's hash that a context carries
+
+
+def prints(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of h[begin:end], from one running polynomial sum."""
+    n = len(h) + 1
+    up, down = (np.concatenate([[U(1)], np.cumprod(np.full(n - 1, x, U))]) for x in (_M, _INVERSE))
+    sums = np.concatenate([[U(0)], np.cumsum(mix(h) * up[:-1], dtype=U)])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U))
+
+
 def _contexts(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,46 +141,52 @@ def _contexts(window: int, gram: int):
                 texts = Texts(part["text"], lower=False)
                 h, at, seed = window_seeds(texts, window, gram)
                 doc = np.searchsorted(texts.first, at, "right") - 1
-                ids = part["doc_id"].to_pylist()
-                bounds, rows = np.searchsorted(doc, np.arange(len(ids) + 1)), {}
-                out: list[tuple] = []
-                full = grams(h, window)
+                bounds = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+                kind = np.zeros(len(at), np.int8)
                 for i, (few, hot) in enumerate(zip(part["seeds"], part["hots"], strict=True)):
                     a, b = bounds[i], bounds[i + 1]
-                    if a == b:
-                        continue
-                    few, hot = few.values.to_numpy().view(U), hot.values.to_numpy().view(U)
-                    s, place = seed[a:b], at[a:b]
-                    for p in place[np.isin(s, hot)].tolist() if len(hot) else ():
-                        out.append((int(full[p : p + 1].view(np.int64)[0]), ids[i], p, 1, texts.first[i]))
-                    ok = np.isin(s, few)
-                    if not ok.any():
-                        continue
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]]).astype(np.int8)) | np.concatenate([[False], s[1:] != s[:-1], [False]]))
-                    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                        if ok[x]:
-                            for z in range(x, y, RUN):
-                                out.append((int(s[x : x + 1].view(np.int64)[0]), ids[i], int(place[z]), min(y - z, RUN), texts.first[i]))
-                words: list[bytes | None] = []
-                prints: list[int] = []
-                for key, d, p, n, _ in out:
-                    raw = h[p : p + n + window - 1]
-                    x = int(mix(mix(raw) * (np.arange(len(raw), dtype=U) * U(2) + U(1))).sum(dtype=U)) & (2**63 - 1)
-                    prints.append(x)
-                    first = rows.get((key, x))
-                    words.append(raw.tobytes())
-                    if first is None or d < first[0]:
-                        if first is not None:
-                            words[first[1]] = None
-                        rows[key, x] = (d, len(words) - 1)
-                    else:
-                        words[-1] = None
-                cols = [pa.array([o[0] for o in out], pa.int64()), pa.array(prints, pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([int(o[2] - o[4]) for o in out], pa.int32()), pa.array(words, pa.binary())]
+                    if a < b and len(few):
+                        kind[a:b][np.isin(seed[a:b], few.values.to_numpy().view(U))] = 1
+                    if a < b and len(hot):
+                        kind[a:b][np.isin(seed[a:b], hot.values.to_numpy().view(U))] = 2
+                # runs of windows with one seed in one text, cut to RUN windows; hot ones singly
+                new = np.ones(len(at) + 1, bool)
+                new[1:-1] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]) | (kind[1:] == 2)
+                edge = np.flatnonzero(new)
+                begin, size = edge[:-1], np.diff(edge)
+                some = kind[begin] > 0
+                begin, size = begin[some], size[some]
+                times = -(-size // RUN)
+                nth = np.arange(times.sum()) - np.repeat(np.append(0, np.cumsum(times)[:-1]), times)
+                first = np.repeat(begin, times) + nth * RUN
+                n = np.minimum(np.repeat(size, times) - nth * RUN, RUN)
+                place = at[first]
+                to = place + n + window - 1
+                key = seed[first].copy()
+                hot_ones = kind[first] == 2
+                if hot_ones.any():
+                    key[hot_ones] = grams(h, window)[place[hot_ones]]
+                context = prints(h, place, to)
+                ids = part["doc_id"].to_numpy(zero_copy_only=False)[doc[first]] if len(first) else np.zeros(0, np.int64)
+                order = np.lexsort((ids, context, key))
+                lead = np.ones(len(order), bool)
+                lead[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
+                raw = h.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes() if len(h) else b""
+                words: list[bytes | None] = [None] * len(first)
+                for i in order[lead].tolist():
+                    words[i] = raw[BYTES * place[i] : BYTES * to[i]]
+                cols = [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids, pa.int64()), pa.array((place - texts.first[doc[first]]).astype(np.int32)), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["seed", "context", "doc_id", "at", "words"])
 
     return run
 
 
+def unpack(words: bytes) -> list[int]:
+    out = np.zeros((len(words) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(words, np.uint8).reshape(-1, BYTES)
+    return out.view("<i8").ravel().tolist()
+
+
 MARK = "seed long, context long, first_id long, marks long, n int"
 
 
@@ -177,14 +196,14 @@ def _shards(window: int):
 
     def one(group: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int]]:
         done: dict[int, tuple[int, int, int]] = {}
-        fresh = [x for x in group if not (x[0] in done or done.update({x[0]: (x[1], 0, len(x[2]) // 8 - window + 1)}))]
+        fresh = [x for x in group if not (x[0] in done or done.update({x[0]: (x[1], 0, len(x[2]) // BYTES - window + 1)}))]
         if len(fresh) > 1:
             made, i = Automaton(), 0
             while i < len(fresh):
                 j = i
                 while j < len(fresh) and fresh[j][1] == fresh[i][1]:
                     j += 1
-                lists = [np.frombuffer(x[2], np.int64).tolist() for x in fresh[i:j]]
+                lists = [unpack(x[2]) for x in fresh[i:j]]
                 for x, words in zip(fresh[i:j], lists, strict=True):
                     if i:
                         bits = sum(1 << k for k, got in enumerate(made.statistics(words)[window - 1 :]) if got >= window)
