@@ -201,8 +201,8 @@ def learn(docs: DataFrame, precision: float = PRECISION) -> tuple[boosting.Boost
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, round(share * 1_000_000)))
     rows = [r["x"] for r in drawn.select("text").mapInArrow(_examples, "x array<double>").limit(SAMPLE_ROWS).collect()]
-    table = np.array(sorted(rows), float).reshape(len(rows), -1)
-    if not len(table):
+    table = np.array(sorted(rows), float)
+    if not rows:
         return boosting.fit(np.zeros((0, 1)), np.zeros(0)), 1.1
     x, y, later = table[:, :-1], table[:, -1], np.arange(len(table)) % 3 == 2
     model = boosting.fit(x[~later], y[~later])

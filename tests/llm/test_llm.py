@@ -1,0 +1,254 @@
+"""Each operator against a plain version, on a small table with every odd case."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import uuid
+import zlib
+
+import duckdb
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from foliolake.llm import bpe, exact_dedup, hmm, license, minhash, mixing, pii, quality, queries, substring, token_store
+from foliolake.llm.store import new_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SEP = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def data(seed=5):
+    rng = random.Random(seed)
+    words = ["the", "of", "Änder", "a", "straße", "x1", "don't", "zebra", "lorem", "ipsum", "dolor", "sit", "amet", "Él", "and"] + [f"w{i}" for i in range(60)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, passage = make(90).split(" "), make(70)
+    texts = ["", None, "  \n ", "one", "one two", make(3000), "日本語 テキスト 🙂 é", "<|endoftext|> x", "a\x85b\x1c c", "x" * 500, "la " * 400]
+    texts += [make(rng.randint(5, 120)) for _ in range(25)] + [" ".join(base)] * 4
+    for k in range(12):
+        edited = list(base)
+        for _ in range(k):
+            edited[rng.randrange(90)] = f"e{rng.randrange(9)}"
+        texts.append(" ".join(edited))
+    texts += [make(20) + " " + passage + " " + make(9) for _ in range(5)]
+    texts += ["mail me a.b+c@mail.example.org, or @x@y.z@w.v. call +1 (555) 123-4567 é 300.1.1.1 1.2.3.4.5 4111 1111 1111 1111 4111-1111-1111-1112", "Été: jane (at) site (dot) org x@y a@b-c.d"]
+    texts += ["Intro. Released under the MIT License. More " + make(8), license.TEMPLATES["MIT"] + " " + make(30), "license to nothing"]
+    rows = [(i, t, ["en", "de", None][i % 3], f"s{i % 2}", None) for i, t in enumerate(texts)]
+    return rows + [rows[11], rows[12]]  # two rows come again
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = data()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for c in ("digest", "words", "key", "component", "kept", "n", "p", "keep_id"):  # clashing names
+        df = df.withColumn(c, F.lit(7))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+TEXT = {r[0]: r[1] or "" for r in data()}
+
+
+def words(t, lower=False):
+    return SEP.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t) if lower else t)
+
+
+def test_exact(spark, docs, empty):
+    got = exact_dedup.duplicates(docs, f"t_{uuid.uuid4().hex}").collect()
+    assert len(got) == len(data())
+    groups = collections.defaultdict(list)
+    for i, t, *_ in data():
+        groups[t or ""].append(i)
+    for r in got:
+        g = groups[TEXT[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(g), len(g), r.doc_id == max(g), hashlib.sha256(TEXT[r.doc_id].encode()).hexdigest())
+    name = f"t_{uuid.uuid4().hex}"
+    kept = exact_dedup.keep_first_seen(docs, name)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values()) and kept.columns == docs.columns
+    assert exact_dedup.keep_first_seen(docs, name).count() == 0  # the index remembers
+    assert exact_dedup.duplicates(empty, f"t_{uuid.uuid4().hex}").count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_minhash(spark, docs, empty, n):
+    sets = {i: ({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if (w := words(t, True)) else set()) for i, t in TEXT.items()}
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                comp[max(x, y)] = min(x, y)
+    for r in minhash.near_duplicates(docs, n).collect():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
+    assert minhash.near_duplicates(empty, n).count() == 0
+    assert {r.doc_id for r in minhash.keep_one_each(docs, n).collect()} == {i for i in sets if root(i) == i}
+
+
+def test_left_links_across_components():
+    import numpy as np
+
+    sets = [np.arange(0, 100, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64), np.arange(60, 160, dtype=np.uint64)]
+    assert minhash.across(sets, [0, 1, 2], 80) == [(0, 1)] and minhash.across(sets, [0, 0, 2], 80) == []
+
+
+def test_token_store(spark, docs, empty):
+    where = new_path(spark, "t")
+    token_store.write_tokens(docs, where, group_bytes=1 << 16, page_rows=10)
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*tk.encode(t, add_special_tokens=False).ids, 2] for i, t in TEXT.items()}
+    at, want = 0, []
+    for i in sorted(r[0] for r in data()):
+        want.append((i, at, len(ids[i]), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[i]))))
+        at += len(ids[i])
+    assert sorted(tuple(r) for r in token_store.digest_tokens(spark, where).collect()) == want
+    assert sorted(r.start for r in token_store.read_starts(spark, where).collect()) == sorted(w[1] for w in want)
+    none = new_path(spark, "t")
+    token_store.write_tokens(empty, none)
+    assert token_store.digest_tokens(spark, none).count() == 0
+
+
+def test_hmm(spark, docs, empty):
+    got = hmm.score(docs, states=3, rounds=2).collect()
+    tok = {i: [*words(t, True), None] for i, t in TEXT.items()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tok}
+    c = collections.Counter(w for i, *_ in data() if not out[i] for w in tok[i])
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        t = tok[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
+    assert hmm.score(empty, states=2, rounds=1).count() == 0
+
+
+def test_forward_is_exact():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = hmm.Model(np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.4, 0.6]]), rng.random((5, 2)))
+    seq = np.array([1, 4, 0, 2])
+    total = sum(m.start[p[0]] * m.emit[seq[0], p[0]] * math.prod(m.move[p[k - 1], p[k]] * m.emit[seq[k], p[k]] for k in range(1, 4)) for p in itertools.product(range(2), repeat=4))
+    assert hmm.forward(m, np.append(seq, [3]), np.array([0, 4, 5]))[0] == pytest.approx(math.log10(total))
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    def fine(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in s.split("."))
+        if kind == "card":
+            return 12 <= len(d) <= 19 and sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+        return kind == "email" or 9 <= len(d) <= 15
+
+    found = [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, text) if fine(k, m[0])]
+    return sorted(found, key=lambda x: (x[1], list(BASE).index(x[0])))
+
+
+def test_pii(spark, docs, empty):
+    for r in pii.find(docs).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == plain_spans(TEXT[r.doc_id])
+    rng = random.Random(2)
+    many = ["".join(rng.choice("@@a.b-+1 234().5é") for _ in range(60)) for _ in range(400)]
+    got = pii.find(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")).collect()
+    assert all([(s.kind, s.start, s.end) for s in r.spans if s.base] == plain_spans(many[r.doc_id]) for r in got)
+    assert pii.find(empty).count() == 0 and pii.redact("a 1 b", [("ip", 2, 3)]) == "a [ip] b"
+
+
+def test_quality(spark, docs, empty):
+    for r in quality.measure(docs).collect():
+        t = TEXT[r.doc_id]
+        w = words(t)
+        c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if SEP.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(x) for x in quality.SYMBOLS), len(lines) - len(set(lines)), len(cover))
+        assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and (not r.kept or not r.base_failed)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == quality.measure(docs).where("kept").count()
+    assert quality.measure(empty).count() == 0
+
+
+def test_substring(spark, docs, empty):
+    first = {}
+    for i in sorted(TEXT):
+        w = words(TEXT[i])
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for hot in (1000, 1):  # with and without splitting hot seeds
+        for r in substring.remove_repeats(docs, hot=hot).collect():
+            w = words(TEXT[r.doc_id])
+            gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < r.doc_id for j in range(13)}
+            assert (r.n_words, r.n_removed, r.kept_text) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_bpe(spark, docs, empty):
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in bpe.encode_decode(docs).collect():
+        ids = tk.encode(TEXT[r.doc_id], add_special_tokens=False).ids
+        assert bytes(r.ids) == b"".join(x.to_bytes(4, "little") for x in ids) and r.n_tokens == len(ids)
+        assert r.decoded == tk.decode(ids, skip_special_tokens=False)
+    assert bpe.encode_decode(empty).count() == 0
+
+
+def test_mixing(spark, docs, empty):
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() <= len(data()) and mixing.sample(empty).count() == 0
+    import numpy as np
+
+    w = mixing.rake([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], np.array([4.0, 1, 2, 3]), [{"a": 0.3, "b": 0.7}, {"x": 0.6, "y": 0.4}])
+    assert w.reshape(2, 2).sum(1) == pytest.approx([0.3, 0.7]) and w.reshape(2, 2).sum(0) == pytest.approx([0.6, 0.4])
+    assert w[0] * w[3] / (w[1] * w[2]) == pytest.approx(4 * 3 / 2)  # raking keeps odds ratios
+
+
+def test_license(spark, docs, empty):
+    named = {r.doc_id: r.licenses for r in license.scan(docs).collect()}
+    sets = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    for i, t in TEXT.items():
+        w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
+        found = []
+        for name, longest in license.classes(license.TEMPLATES).items():
+            want, step = sets(license.template_words(license.TEMPLATES[name])), max(1, longest // 4)
+            if any(100 * len(sets(w[k : k + longest + step]) & want) >= 80 * len(want) for k in range(0, len(w), step)):
+                found.append(name)
+        assert named[i] == ",".join(sorted(found))
+    assert license.scan(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = con.sql(queries.SQL[name])
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(map(repr, map(tuple, df.select(*got.columns).collect()))) == sorted(map(repr, got.fetchall()))
+
+
+def test_pipeline(spark, docs):
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, df, "")
+        assert k == 4 or made.columns == df.columns
+        before, after = {r.doc_id for r in df.collect()}, {r.doc_id for r in made.collect()}
+        assert after <= before
+        df = made
+    assert "ids" in df.columns
