@@ -50,7 +50,9 @@ def tempered(mass: dict, power: float) -> dict:
 
 def rake(cells: list[tuple], mass: np.ndarray, targets: list[dict], rounds: int = ROUNDS) -> np.ndarray:
     """The cells' masses, scaled to the targets' shares one dimension after the other."""
-    w = mass / mass.sum() if mass.sum() else mass
+    if not mass.sum():
+        return mass
+    w = mass / mass.sum()
     for _ in range(rounds):
         for d, target in enumerate(targets):
             names = sorted({c[d] for c in cells}, key=str)
@@ -68,10 +70,12 @@ def _rake_cluster(cells: DataFrame, power: float, rounds: int) -> DataFrame:
     wants = {}
     for d in DIMS:
         m = cells.groupBy(d).agg(F.pow(F.sum("mass").cast("double"), F.lit(power)).alias("p"))
-        wants[d] = keep(m.crossJoin(m.agg(F.sum("p").alias("all"))).select(F.col(d).alias("k"), (F.col("p") / F.col("all")).alias("want")), "want")
+        total = m.agg(F.sum("p")).first()[0]
+        wants[d] = keep(m.select(F.col(d).alias("k"), (F.col("p") / F.lit(total)).alias("want")), "want")
     for _ in range(rounds):
         for d in DIMS:
-            have = df.groupBy(F.col(d).alias("k")).agg(F.sum("w").alias("have")).join(wants[d], F.expr("true") if False else "k", "inner")
+            have = df.groupBy(F.col(d).alias("of")).agg(F.sum("w").alias("have"))
+            have = have.join(wants[d], F.col("of").eqNullSafe(F.col("k"))).drop("of")
             df = df.join(have, F.col(d).eqNullSafe(F.col("k")), "left").withColumn("w", F.coalesce(F.col("w") * F.try_divide("want", "have"), F.lit(0.0))).drop("k", "have", "want")
         df = keep(df, "raked")
     return df

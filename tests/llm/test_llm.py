@@ -218,6 +218,12 @@ def test_mixing(spark, docs, empty):
     w = mixing.rake([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], np.array([4.0, 1, 2, 3]), [{"a": 0.3, "b": 0.7}, {"x": 0.6, "y": 0.4}])
     assert w.reshape(2, 2).sum(1) == pytest.approx([0.3, 0.7]) and w.reshape(2, 2).sum(0) == pytest.approx([0.6, 0.4])
     assert w[0] * w[3] / (w[1] * w[2]) == pytest.approx(4 * 3 / 2)  # raking keeps odds ratios
+    small = mixing.probabilities(docs, rounds=4).select("doc_id", F.round("__w_p", 9).alias("p")).distinct().collect()
+    limit, mixing.DRIVER_CELLS = mixing.DRIVER_CELLS, 0  # the form for very many cells
+    try:
+        assert sorted(mixing.probabilities(docs, rounds=4).select("doc_id", F.round("__w_p", 9).alias("p")).distinct().collect()) == sorted(small)
+    finally:
+        mixing.DRIVER_CELLS = limit
 
 
 def test_license(spark, docs, empty):
