@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,25 +9,11 @@ from pyspark.sql.window import Window
 from .functions import text as T
 from .operators import annotations, evaluation, features, layout, lines, patterns, tree
 from .plans import structured
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .session import table
 from .sources import readers
 from .streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 

@@ -50,3 +50,64 @@ def ocr_lines(words: DataFrame, threshold: float = 40) -> DataFrame:
     """Lines of words that were read with enough confidence."""
     parts = F.array_sort(F.collect_list(F.struct("word_num", "text")))
     return words.where(F.col("conf") >= threshold).groupBy("page_num", "line_num").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_words"))
+
+
+def link_objects(objects: DataFrame, lines: DataFrame, near: int = 5) -> DataFrame:
+    """Each object (object_id) with the line it belongs to, both with doc_id, page_id, x, y,
+    width and height, lines also with line_id and text. Candidates are the lines just before
+    and after in reading order; of those on the page the one with the least vertical gap, less
+    the horizontal overlap, wins. Without any, it is the last line of the page before, else
+    the nearest. Candidates are named by position, so the join is on equal keys."""
+    place = ["doc_id", "page_id", "y", "x"]
+    w = Window.partitionBy("doc_id").orderBy("page_id", "y", "x", "line_id")
+    numbered = lines.withColumn("pos", F.row_number().over(w).cast("long"))
+    both = lines.select(*place, F.lit(1).alias("is_line"), F.lit(None).cast("long").alias("object_id")).unionByName(objects.select(*place, F.lit(0).alias("is_line"), "object_id"))
+    before = F.sum("is_line").over(Window.partitionBy("doc_id").orderBy("page_id", "y", "x", F.desc("is_line"), "object_id").rowsBetween(Window.unboundedPreceding, 0))
+    at = both.withColumn("before", before).where("is_line = 0").select("doc_id", "object_id", "before")
+    asked = objects.join(at, ["doc_id", "object_id"]).select("*", F.explode(F.sequence(F.col("before") - near + 1, F.col("before") + near)).alias("pos"))
+    cand = numbered.select("doc_id", "pos", "line_id", F.lower(F.trim("text")).alias("low"), *[F.col(c).alias(f"l_{c}") for c in ("page_id", "x", "y", "width", "height")])
+    c = F.col
+    gap = F.least(F.abs(c("l_y") - c("y") - c("height")), F.abs(c("l_y") + c("l_height") - c("y"))) / (c("height") + 1e-3)
+    common = F.least(c("l_x") + c("l_width"), c("x") + c("width")) - F.greatest("l_x", "x")
+    special = F.when(c("low") == "", 0.5).when(c("low").rlike("^(таблица |таб[.] |table )"), -0.5).otherwise(0.0)
+    distance = gap - F.when(common > 0, common / c("l_width")).otherwise(0.0) + special
+    ahead = c("pos") <= c("before")
+    # on the page by distance, then the lines before from the nearest, then those after
+    score = F.struct(
+        F.when(c("l_page_id") == c("page_id"), 0).when((c("l_page_id") == c("page_id") - 1) & ahead, 1).when(ahead, 2).otherwise(3).alias("rank"),
+        F.when(c("l_page_id") == c("page_id"), F.round(distance, 9)).otherwise(F.abs(c("pos") - c("before"))).alias("distance"), "pos", "line_id",
+    )
+    return asked.join(cand, ["doc_id", "pos"]).groupBy("doc_id", "object_id").agg(F.min(score).alias("s")).select("doc_id", "object_id", "s.line_id")
+
+
+def page_range(pages: str) -> tuple[int, int | None]:
+    """First and end page of "from:to", counted from 1, both kept; either side may be missing."""
+    left, sep, right = pages.partition(":")
+    if not sep or not all(x.strip().lstrip("-").isdigit() or not x.strip() for x in (left, right)):
+        raise ValueError(f"pages should be like 'from:to', not {pages!r}")
+    first, last = max(int(left) - 1, 0) if left.strip() else 0, max(int(right), 0) if right.strip() else None
+    if last is not None and last <= first and left.strip():
+        raise ValueError(f"no page is in {pages!r}")
+    return first, last
+
+
+def page_slice(lines: DataFrame, pages: str) -> DataFrame:
+    """Lines of a range of pages; the filter reaches the scan."""
+    first, last = page_range(pages)
+    kept = lines.where(F.col("page_id") >= first)
+    return kept if last is None else kept.where(F.col("page_id") < last)
+
+
+def repeated_ends(lines: DataFrame, step: int = 1, ends: int = 4, share: float = 0.5) -> DataFrame:
+    """slot, score: how alike the slots of a page and a later page are, on average; slots above the
+    share are headers and footers. One join on equal keys."""
+    slots = page_ends(lines, ends)
+    later = slots.select((F.col("page_id") - step).alias("page_id"), "slot", F.col("pattern").alias("next"))
+    alike = 1 - F.levenshtein("pattern", "next") / F.greatest(F.length("pattern"), F.length("next"), F.lit(1))
+    return slots.join(later, ["page_id", "slot"]).groupBy("slot").agg(F.round(F.avg(alike), 6).alias("score"), F.count("*").alias("n_pairs")).where(F.col("score") > share)
+
+
+def merge_first_page(first: DataFrame, rest: DataFrame) -> DataFrame:
+    """Lines of page 0 read one way, of all others read another way, numbered anew."""
+    both = first.where("page_id = 0").unionByName(rest.where("page_id > 0"))
+    return both.withColumn("line_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id", "line_id")) - 1).cast("long"))

@@ -64,3 +64,10 @@ def head_and_rest(lines: DataFrame, pattern: str) -> DataFrame:
     rest = F.substring("text", F.length(head) + 1, F.length("text"))
     two = F.array(F.struct(F.lit(0).alias("part"), F.when(head == "", F.col("text")).otherwise(head).alias("text")), F.struct(F.lit(1).alias("part"), F.when(head != "", rest).alias("text")))
     return lines.select("doc_id", "line_id", F.explode(F.filter(two, lambda x: (x["part"] == 0) | (F.coalesce(x["text"], F.lit("")) != ""))).alias("x")).select("doc_id", "line_id", "x.part", "x.text")
+
+
+def offsets(text: str = "text", sep: int = 1) -> Column:
+    """Where each line starts when a document's lines are joined by a delimiter of a length;
+    annotations of the line move by it, see shift()."""
+    before = Window.partitionBy("doc_id").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(F.length(text) + sep).over(before), F.lit(0)).cast("long")

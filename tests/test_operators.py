@@ -4,7 +4,7 @@ import zipfile
 import duckdb
 import pytest
 
-from foliolake import catalog
+from foliolake import catalog, catalog_documents  # noqa: F401
 from foliolake.functions import text as T
 from foliolake.operators import patterns, tree
 from foliolake.sources import readers
