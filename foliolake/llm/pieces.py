@@ -18,14 +18,15 @@ def _class(kind: str) -> str:
 
 
 L, N, S = _class("L"), _class("N"), "\t-\r\x20\xa0"
-_TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
+_TAILS = "'(?:[stmd]|re|ve|ll)"
 
 
 def _patterns(letters: str, numbers: str, blanks: str) -> tuple:
     """Byte-level: an optional blank before a run of one class. Word-level: runs of
-    letters, single digits, runs of others; blanks are dropped."""
-    byte = f"{_TAILS}| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
-    word = f"{_TAILS}|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+"
+    letters, single digits, runs of others; blanks are dropped. Letters come first, as
+    most pre-tokens are such and no tail begins like them."""
+    byte = f" ?[{letters}]+|{_TAILS}| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+    word = f"[{letters}]+|{_TAILS}|[{numbers}]|[^{blanks}{letters}{numbers}]+"
     return re.compile(byte).findall, re.compile(word).findall
 
 

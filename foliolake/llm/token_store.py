@@ -5,8 +5,8 @@ lists, row groups of a set size and page indexes. A reader can take the metadata
 alone, or the row groups and pages of some ids. `start` counts the ids of all documents
 before one: a running sum in its shard plus the sum of the shards before.
 
-The tokenizers library encodes each distinct pre-token of a batch once; texts outside the
-characters that `pieces` knows go through it whole.
+The model of the tokenizers library encodes each distinct pre-token once while it is
+remembered; texts outside the characters that `pieces` knows go through the library whole.
 
 Cases: a null text counts as empty (the end id only); rows with equal doc_id keep the
 order in which they were written, null ids come first; an empty table writes no rows;
@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,50 +28,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernels import chunks
-from .pieces import Cache, byte_level, plain
+from .pieces import byte_chars, byte_level, plain
 
 END_ID = 2
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
+class Memo(dict):
+    """Pre-token -> its ids, made when first asked for. Of two generations the older one
+    goes when the younger is full; what is asked for again moves to the younger."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = 400_000):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or self.make(piece)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class ByteBpe:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores have tasks of their own
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache = Cache(400_000)
-        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.merge = self.library.model.tokenize
+        self.bytes = dict(enumerate(byte_chars()))
+        self.cache = Memo(self._piece_ids)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Pre-tokens that aren't white space stay whole between line feeds, and a line
-        feed is one token that no other pre-token has; so a call takes many."""
-        chained = [p for p in pieces if not p.isspace()]
-        runs = [chained[i : i + 1024] for i in range(0, len(chained), 1024)]
-        out: dict[str, bytes] = {}
-        for run, e in zip(runs, self.library.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<i4")
-            cut = np.flatnonzero(ids == self.feed)
-            if len(cut) + 1 == len(run):
-                flat = ids.tobytes()
-                begin, end = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(flat)]
-                out.update(zip(run, [flat[a:b] for a, b in zip(begin, end, strict=True)], strict=True))
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self._ids(rest), strict=True))
-        return [out[p] for p in pieces]
+    def _piece_ids(self, piece: str) -> bytes:
+        """The library's model takes the characters that stand for the pre-token's bytes.
+        Visible ASCII stands for itself, and blanks come first in a pre-token or alone."""
+        if piece.isascii() and not piece.isspace():
+            shown = self.bytes[32] + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.bytes)
+        return array("i", [t.id for t in self.merge(shown)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         usual = [plain(t) and "<|" not in t for t in texts]
-        lists = [byte_level(t) for t, u in zip(texts, usual, strict=True) if u]
-        new = self.cache.missing(lists)
-        self.cache.update(zip(new, self._piece_ids(new), strict=True))
+        odd = iter(self._ids([t for t, u in zip(texts, usual, strict=True) if not u]))
         get = self.cache.__getitem__
-        known, odd = iter(lists), iter(self._ids([t for t, u in zip(texts, usual, strict=True) if not u]))
-        return [b"".join(map(get, next(known))) if u else next(odd) for u in usual]
+        return [b"".join(map(get, byte_level(t))) if u else next(odd) for t, u in zip(texts, usual, strict=True)]
 
 
 @lru_cache(2)
