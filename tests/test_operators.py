@@ -81,3 +81,29 @@ def test_names_and_ratio(spark):
 def test_streaming_counts(spark):
     got = catalog.QUERIES["stream_tumbling"](spark, DATA)
     assert got.count() > 0 and got.columns == ["start", "event_type", "n"]
+
+
+def test_page_range():
+    from foliolake.operators.layout import page_range
+
+    assert page_range("2:3") == (1, 3) and page_range(":") == (0, None) and page_range("-4:5") == (0, 5) and page_range("3:") == (2, None)
+    for bad in ("2", "a:b", "5:2"):
+        with pytest.raises(ValueError):
+            page_range(bad)
+
+
+def test_links_fall_back_to_the_page_before(spark):
+    from foliolake.operators.layout import link_objects
+
+    lines = spark.createDataFrame([(1, 0, 0, 0, 0, 10, 5, "a"), (1, 0, 1, 0, 9, 10, 5, "b"), (1, 2, 2, 0, 0, 10, 5, "Table 1")], "doc_id long, page_id long, line_id long, x int, y int, width int, height int, text string")
+    objects = spark.createDataFrame([(1, 7, 1, 0, 0, 10, 5), (1, 8, 2, 0, 9, 10, 5)], "doc_id long, object_id long, page_id long, x int, y int, width int, height int")
+    assert sorted(map(tuple, link_objects(objects, lines).collect())) == [(1, 7, 1), (1, 8, 2)]
+
+
+def test_law_type_of_few_lines(spark):
+    from foliolake.operators.domain import law_type
+
+    texts = {1: ["П Р И К А З", "", "a", "b", "c"], 2: ["Закон", "x", "y", "Указ", "e", "f", "g"], 3: ["приказ", "b", "c"], 4: ["приказано", "b", "c", "d"]}
+    rows = [(d, i, t) for d, lines in texts.items() for i, t in enumerate(lines)]
+    got = law_type(spark.createDataFrame(rows, "doc_id long, line_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "приказ", "foiv_law"), (2, "указ", "law"), (3, None, "law"), (4, None, "law")]
