@@ -27,7 +27,7 @@ P = "__w_"
 
 
 def n_words(text: str = "text") -> Column:
-    trimmed = F.expr(f"trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM coalesce({text}, ''))")
+    trimmed = F.expr(f"trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM coalesce({text}, ''))")
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+"))).cast("long")
 
 

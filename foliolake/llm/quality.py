@@ -40,7 +40,7 @@ def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def with_words(df: DataFrame) -> DataFrame:
     """Adds the array of words and their number."""
-    trimmed = F.expr(f"trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM coalesce({P}text, ''))")
+    trimmed = F.expr(f"trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM coalesce({P}text, ''))")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t-\r]+"))
     return fixed(df, P + "words", words).withColumn("n_words", F.size(P + "words").cast("long"))
 

@@ -187,6 +187,21 @@ def test_quality(spark, docs, empty):
     assert quality.measure(empty).count() == 0
 
 
+EDGES = ["f", "for a b of", "f a b f", "\x0cabc def\x0c", "f\x0c", "\x0c", "\x0b f x\t", "f of f f of f", "of x" * 40 + " f" * 60]
+
+
+def test_words_at_the_edges(spark):
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(EDGES)], "doc_id long, text string, lang string, source string")
+    rows = quality.measure(df).collect()
+    for r in rows:
+        w = words(EDGES[r.doc_id])
+        c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        assert (r.n_words, r.n_repeat_words, r.base_failed) == (len(w), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))
+    assert quality.keep_good(df).count() == sum(r.kept for r in rows)
+    assert all(r["__w_words"] == len(words(EDGES[r.doc_id])) for r in mixing.probabilities(df).collect())
+
+
 def test_substring(spark, docs, empty):
     first = {}
     for i in sorted(TEXT):
