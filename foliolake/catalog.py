@@ -421,8 +421,5 @@ def stream_tumbling(spark, d):
 
 @query()
 def fuzzy_ratio(spark, d):
-    """Each benchmark item with the first line that is most like it among lines with its first word."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", " ")[0].alias("word"))
-    rows = doc_lines(spark, d).withColumn("word", F.split("text", " ")[0])
-    pairs = items.join(rows, "word").withColumn("ratio", evaluation.fuzzy(F.substring("item", 1, 300), F.substring("text", 1, 300)))
-    return pairs.groupBy("item_id").agg(F.max(F.struct("ratio", -F.col("doc_id"), -F.col("line_id"))).alias("best")).select("item_id", F.col("best.ratio").alias("ratio"), (-F.col("best.col2")).alias("doc_id"))
+    """Each benchmark item with the line that is most like it, the first one of equals."""
+    return evaluation.nearest_lines(table(spark, d, "benchmark"), doc_lines(spark, d)).select("item_id", "ratio", "doc_id")

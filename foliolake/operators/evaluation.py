@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,10 +43,136 @@ def align(truth: DataFrame, found: DataFrame, keys: list[str], text: str = "text
     return a.join(b, [*keys, "occurrence"], "full").withColumn("state", state)
 
 
+def similarity(a: str, b: str) -> float:
+    return round(SequenceMatcher(None, a.lower(), b.lower()).ratio(), 6)
+
+
 def fuzzy(a: Column, b: Column) -> Column:
     """Similarity of two texts as matching blocks of their characters, case-folded."""
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else round(SequenceMatcher(None, p.lower(), q.lower()).ratio(), 6) for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([None if p is None or q is None else similarity(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return ratio(a, b)
+
+
+#: Items to a pass over the lines, and classes that characters are counted in.
+ITEMS, KINDS = 1000, 64
+NONE = -(1 << 62)
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """Characters by class; what two texts share by class bounds what they share by character."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") % KINDS
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(row * KINDS + codes, minlength=len(texts) * KINDS).reshape(-1, KINDS)
+
+
+def common(places: dict[str, int], n: int, text: str) -> int:
+    """The longest common subsequence's length, by bits: matching blocks in order are
+    common to both texts, so their characters are no more."""
+    full = (1 << n) - 1
+    v, get = full, places.get
+    for m in map(get, text):
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def seeded(a: str, b: str) -> int:
+    """A bound of the matching blocks' characters where b has 200 or more: the matcher then
+    takes no block without a character that is rare in b, so each block lies in the longest
+    one around such a character of a."""
+    most = len(b) // 100 + 1
+    rare = {c for c in set(a).intersection(b) if b.count(c) <= most}
+    total, n, m = 0, len(a), len(b)
+    for i, c in enumerate(a):
+        if c in rare:
+            longest, j = 0, b.find(c)
+            while j >= 0:
+                left = right = 1
+                while left <= i and left <= j and a[i - left] == b[j - left]:
+                    left += 1
+                while i + right < n and j + right < m and a[i + right] == b[j + right]:
+                    right += 1
+                longest, j = max(longest, left + right - 1), b.find(c, j + 1)
+            total += longest
+    return min(total, n, m)
+
+
+def _places(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _nearest(items: list[tuple[int, str]], known: dict[int, float], most: int | None):
+    """The best line of each item in a task's lines: (ratio, -doc_id, -line_id). Bounds by
+    lengths, character counts and common subsequences leave pairs aside that can't reach
+    the best one so far, or a ratio that is known to be reached somewhere. With `most`
+    only so many lines of a batch are tried for an item."""
+    low = [t.lower() for _, t in items]
+    counts, places = _counts(low), [_places(t) for t in low]
+    sizes = np.array([len(t) for t in low])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(known.get(i, -1.0), NONE, NONE) for i, _ in items]  # below every line of that ratio
+        for batch in batches:
+            texts, docs, lines = (batch[c].to_pylist() for c in ("text", "doc_id", "line_id"))
+            lower = [t.lower() for t in texts]
+            length, have = np.array([len(t) for t in lower]), _counts(lower)
+            for k, (_, item) in enumerate(items):
+                both = np.maximum(length + sizes[k], 1)
+                none = length + sizes[k] == 0
+                near = np.flatnonzero(none | (2 * np.minimum(length, sizes[k]) / both >= best[k][0] - 1e-6))
+                bound = np.where(none[near], 1.0, 2 * np.minimum(have[near], counts[k]).sum(1) / both[near])
+                order = np.argsort(-bound, kind="stable")
+                tried = 0
+                for j, top in zip(near[order].tolist(), bound[order].tolist()):
+                    key = (-docs[j], -lines[j])
+                    if round(top, 6) < best[k][0] or most is not None and tried >= most:
+                        break
+                    if (round(top, 6), *key) <= best[k]:
+                        continue
+                    reach = 1.0 if none[j] else 2 * seeded(low[k], lower[j]) / both[j] if length[j] >= 200 else 2 * common(places[k], len(low[k]), lower[j]) / both[j]
+                    tried += 1
+                    if (round(reach, 6), *key) > best[k]:
+                        best[k] = max(best[k], (similarity(item, texts[j]), *key))
+        rows = [(i, *b) for (i, _), b in zip(items, best, strict=True) if b[1] > NONE]
+        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["item_id", "ratio", "d", "l"])
+
+    return run
+
+
+def nearest_lines(items: DataFrame, rows: DataFrame) -> DataFrame:
+    """item_id, ratio, doc_id, line_id: the line that is most like each item (item_id,
+    text) among all lines (doc_id, line_id, text), the first one of equals. Whole texts
+    are compared. ITEMS items at a time go through the lines, first a few lines of each
+    batch for a ratio that is reached, then all lines against it."""
+    once = rows.where("text IS NOT NULL").groupBy("text").agg(F.min(F.struct("doc_id", "line_id")).alias("at"))
+    once = once.select("text", F.col("at.doc_id").cast("long").alias("doc_id"), F.col("at.line_id").cast("long").alias("line_id"))
+    once = once.repartition(max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # as many tasks: comparing costs more than moving
+    schema, found = "item_id long, ratio double, d long, l long", []
+
+    def one_pass(block: list[tuple[int, str]], known: dict[int, float], most: int | None) -> DataFrame:
+        return once.mapInArrow(_nearest(block, known, most), schema).groupBy("item_id").agg(F.max(F.struct("ratio", "d", "l")).alias("best"))
+
+    def best_of(block: list[tuple[int, str]]) -> DataFrame:
+        known = {r["item_id"]: r["best"]["ratio"] for r in one_pass(block, {}, 2).collect()}
+        return one_pass(block, known, None)
+
+    block: list[tuple[int, str]] = []
+    for r in items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+        block.append((r["item_id"], r["text"]))
+        if len(block) == ITEMS:
+            found.append(best_of(block))
+            block = []
+    if block or not found:
+        found.append(best_of(block))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("item_id", "best.ratio", (-F.col("best.d")).alias("doc_id"), (-F.col("best.l")).alias("line_id"))

@@ -6,7 +6,7 @@ import pytest
 
 from foliolake import catalog, catalog_documents  # noqa: F401
 from foliolake.functions import text as T
-from foliolake.operators import patterns, tree
+from foliolake.operators import evaluation, patterns, tree
 from foliolake.sources import readers
 
 DATA = "/root/testdata/sf0.001"
@@ -107,3 +107,23 @@ def test_law_type_of_few_lines(spark):
     rows = [(d, i, t) for d, lines in texts.items() for i, t in enumerate(lines)]
     got = law_type(spark.createDataFrame(rows, "doc_id long, line_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, "приказ", "foiv_law"), (2, "указ", "law"), (3, None, "law"), (4, None, "law")]
+
+
+def test_nearest_lines_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    vocabulary = ["the", "Lake", "fold", "of", "É", "straße", "x1", "İ", "and", "paper"] + [f"w{i}" for i in range(30)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    long, passage = make(150), make(40)
+    items = [(1, long), (2, passage), (3, "first " + make(12)), (4, ""), (5, None), (6, make(30)), (7, "Q"), (8, make(90))]
+    texts = [long[:300] + make(200), "x" + long[1:], "in front " + passage + " behind", "edited " + items[2][1][6:], "", None, "Q", long[:300]]
+    texts += [make(rng.randint(1, 120)) for _ in range(60)]
+    lines = [(d, i, t) for d in range(3) for i, t in enumerate(texts[d::2])]  # the third document repeats the first one's
+    got = evaluation.nearest_lines(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(lines, "doc_id long, line_id long, text string").repartition(3)).collect()
+    want = []
+    for i, item in items:
+        if item is not None:
+            r, d, n = max((evaluation.similarity(item, t), -d, -n) for d, n, t in lines if t is not None)
+            want.append((i, r, -d, -n))
+    assert sorted(tuple(r) for r in got) == want
