@@ -172,14 +172,15 @@ class WordBpe:
     def _split(self, text: str) -> list[str]:
         """Pre-tokens; those of odd texts and special tokens carry a mark."""
         if "<|" not in text:
-            return word_level(text.lower()) if plain(text) else ["\0" + p for p, _ in self._odd(text)]
+            return self._plain_or_odd(text)
         out: list[str] = []
         for part in self.cut.split(text):
             out += ["\1" + part] if part in self.special else self._plain_or_odd(part)
         return out
 
     def _plain_or_odd(self, part: str) -> list[str]:
-        return word_level(part.lower()) if plain(part) else ["\0" + p for p, _ in self._odd(part)]
+        low = part.lower()  # some capitals below U+0250 have small letters above
+        return word_level(low) if plain(part) and (low.isascii() or plain(low)) else ["\0" + p for p, _ in self._odd(part)]
 
     def _odd(self, text: str) -> list[tuple[str, tuple[int, int]]]:
         return self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))

@@ -225,6 +225,15 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode_decode(empty).count() == 0
 
 
+def test_bpe_capitals_with_small_letters_beyond():
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Əliyev", "Ɗan Ɓoro", "in Latin text, Əliyev said", "<|endoftext|> Ɗan", *map(chr, range(0x100, 0x250)), *[f"a{chr(c)}B {chr(c)}b" for c in range(0xA0, 0x250)]]
+    coder = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    for t, (ids, decoded) in zip(texts, coder.encode(texts), strict=True):
+        want = tk.encode(t, add_special_tokens=False).ids
+        assert ids == b"".join(x.to_bytes(4, "little") for x in want) and decoded == tk.decode(want, skip_special_tokens=False)
+
+
 def test_mixing(spark, docs, empty):
     kept = mixing.sample(docs)
     assert kept.columns == docs.columns and 0 < kept.count() <= len(data()) and mixing.sample(empty).count() == 0
