@@ -264,6 +264,19 @@ def test_license(spark, docs, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_license_wordings(spark):
+    told = {
+        "Text. Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the MIT License, see below": "MIT-notice", "© A. All rights reserved.": "All-rights-reserved",
+        "// SPDX-License-Identifier: MIT\nint x;": "SPDX mit", "SPDX-License-Identifier: (MIT OR Apache-2.0).": "SPDX mit or apache-2.0",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported": "CC-BY-NC-SA-3.0", "cc by-nd 4.0": "CC-BY-ND-4.0", "under the GNU GPL v2.": "GPL-2.0-notice",
+        "GNU Lesser General Public License, version 2.1": "LGPL-2.1-notice", "the 3-clause BSD": "BSD-notice", "Apache License 2.0": "Apache-2.0-notice",
+        license.TEMPLATES["BSD-text"]: "BSD-text", license.TEMPLATES["Apache-2.0-text"]: "Apache-2.0-text", license.TEMPLATES["GPL-3.0-text"]: "GPL-3.0-text",
+        "a driving licence of 4.0 rights": "", "success by 4.0": "",
+    }
+    df = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    assert [r.licenses for r in license.scan(df).orderBy("doc_id").collect()] == list(told.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
