@@ -64,11 +64,14 @@ def rake(cells: list[tuple], mass: np.ndarray, targets: list[dict], rounds: int
     return w
 
 
-def _rake_cluster(cells: DataFrame, power: float, rounds: int) -> DataFrame:
+def _rake_cluster(cells: DataFrame, power: float, rounds: int, targets: dict[str, dict] | None = None) -> DataFrame:
     """The same for very many cells; marginals are sums with map-side combining."""
     df = cells.withColumn("w", F.col("mass").cast("double"))
     wants = {}
     for d in DIMS:
+        if given := (targets or {}).get(d):
+            wants[d] = keep(cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], "k string, want double"), "want")
+            continue
         m = cells.groupBy(d).agg(F.pow(F.sum("mass").cast("double"), F.lit(power)).alias("p"))
         total = m.agg(F.sum("p")).first()[0]
         wants[d] = keep(m.select(F.col(d).alias("k"), (F.col("p") / F.lit(total)).alias("want")), "want")
@@ -100,7 +103,7 @@ def probabilities(docs: DataFrame, power: float = 0.5, share: float = 0.7, targe
         schema = "source string, lang string, topic string, mass double, w double"
         raked = spark.createDataFrame([(*c, float(m), float(x)) for c, m, x in zip(names, mass, w, strict=True)], schema)
     else:
-        raked = _rake_cluster(cells, power, rounds)
+        raked = _rake_cluster(cells, power, rounds, targets)
     raked = keep(raked.withColumn("r", F.coalesce(F.try_divide("w", F.col("mass")), F.lit(0.0))), "raked")
     scale = _scale(raked, share)
     prob = raked.select(*[F.col(d).alias(P + "c_" + d) for d in DIMS], F.least(F.lit(1.0), F.col("r") * scale).alias(P + "p"))

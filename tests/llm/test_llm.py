@@ -250,6 +250,18 @@ def test_mixing(spark, docs, empty):
         mixing.DRIVER_CELLS = limit
 
 
+@pytest.mark.parametrize("targets", [{"source": {"s0": 0.8, "s1": 0.2}, "lang": {"en": 0.5, None: 0.5}}])
+def test_mixing_targets_in_both_forms(spark, docs, targets, monkeypatch):
+    """'de' has no target and gets no share; a null language has one."""
+    got = []
+    for cells in (mixing.DRIVER_CELLS, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+        got.append(sorted(map(tuple, mixing.probabilities(docs, rounds=3, targets=targets).select("doc_id", F.round("__w_p", 6)).distinct().collect())))
+    plain = sorted(map(tuple, mixing.probabilities(docs, rounds=3).select("doc_id", F.round("__w_p", 6)).distinct().collect()))
+    assert got[0] == got[1] != plain
+    assert all(p == 0 for i, p in got[1] if i % 3 == 1)
+
+
 def test_license(spark, docs, empty):
     named = {r.doc_id: r.licenses for r in license.scan(docs).collect()}
     sets = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
