@@ -38,6 +38,8 @@ class WordBpe:
             made = json.load(f)
         self.library = Tokenizer.from_file(path)
         self.vocab: dict[str, int] = made["model"]["vocab"]
+        if max(self.vocab.values()) >= 1 << 16:
+            raise ValueError("pairs are packed from ids below 65,536")
         self.ranks: dict[int, int] = {}  # a << 16 | b -> rank
         self.made: list[int] = []  # rank -> the token that the merge makes
         for rank, m in enumerate(made["model"]["merges"]):

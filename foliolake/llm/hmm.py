@@ -3,13 +3,15 @@ by the scaled forward recursion.
 
 Latent states emit word classes, a class emits its words by their training counts. The
 OWN most frequent words are a class each, all others share HASHED classes by their hash;
-so what every task holds (transitions, emissions, the HEAD most frequent words' counts)
-has a size that the parameters bound. Counts of rarer words are joined by a shuffle, so
-none is cut off.
+so what every task holds (transitions, emissions, at most HEAD of the most frequent words'
+counts) has a size that the parameters bound. Counts of rarer words are joined by a
+shuffle, so none is cut off.
 
-Training reads every training text in each of ROUNDS rounds, in segments of SEGMENT
-tokens that start from the initial distribution; some rounds on at most WARM_TOKENS
-tokens of whole texts, drawn by hash, come first. Scores run over whole texts.
+Every round of training reads every training text whole. Rounds end when the likelihood
+grows by less than GAIN of itself, after ROUNDS at most. Texts over LONG tokens are cut
+into pieces that run side by side: the products of a piece's transitions carry the forward
+state to its begin and the backward state to its end, so the counts are those of the text
+as one sequence. Scores run over whole texts.
 
 Cases: a null or empty text has its end token only; a null doc_id counts as the text ''
 when it is assigned to a fold; rows repeated with an id are scored one by one (and count
@@ -30,7 +32,7 @@ from .kernels import Texts, U, chunks, mix
 from .store import keep, release
 
 STATES, OWN, HASHED, HEAD = 8, 2048, 512, 1 << 18
-ROUNDS, WARM_ROUNDS, WARM_TOKENS, SEGMENT = 2, 12, 400_000, 256
+ROUNDS, GAIN, LONG, PIECE = 8, 1e-4, 512, 256
 END = np.int64(0x1E57_0F7E_47)
 
 
@@ -148,43 +150,82 @@ def forward(model: Model, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def expect(model: Model, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, moves and emissions of the sequences."""
+def _pieces(model: Model, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Begin, length, whether it begins a text, forward state before and backward state
+    after (not scaled) of every piece."""
+    states = len(model.start)
+    size = np.diff(at)
+    times = np.where(size > LONG, -(-size // PIECE), 1)[size > 0]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    begin = np.repeat(at[:-1][size > 0], times) + nth * PIECE
+    length = np.diff(np.append(begin, at[-1]))
+    entry, leave = np.broadcast_to(model.start, (len(begin), states)).copy(), np.ones((len(begin), states))
+    cut = np.flatnonzero(np.repeat(times, times) > 1)
+    if len(cut):
+        order, running = _grid(length[cut])
+        where, opens = begin[cut][order], (nth[cut] == 0)[order]
+        product = np.where(opens[:, None, None], np.eye(states), model.move)
+        for t, n in enumerate(running.tolist()):
+            if t:
+                product[:n] = (product[:n].reshape(-1, states) @ model.move).reshape(-1, states, states)
+            product[:n] *= model.emit[flat[where[:n] + t]][:, None, :]
+            product[:n] /= product[:n].sum((1, 2), keepdims=True)
+        of = np.empty_like(product)
+        of[order] = product
+        last = len(cut) - 1
+        for i, k in enumerate(cut.tolist()):
+            if i < last and nth[cut[i + 1]]:
+                v = entry[k] @ of[i]
+                entry[k + 1] = v / v.sum()
+        for i in range(last, 0, -1):
+            k = cut[i]
+            if nth[k]:
+                v = of[i] @ leave[k]
+                leave[k - 1] = v / v.sum()
+    return begin, length, nth == 0, entry, leave
+
+
+def expect(model: Model, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected starts, moves and emissions of the sequences, and their log
+    likelihood."""
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-    cut = np.concatenate([np.append(np.arange(a, b, SEGMENT), []) for a, b in zip(at[:-1].tolist(), at[1:].tolist()) if b > a] or [[]]).astype(np.int64)
-    if not len(cut):
-        return start, move, emit
-    lengths = np.diff(np.append(cut, at[-1]))
+    if not len(flat):
+        return start, move, emit, 0.0
+    begin, lengths, opens, entry, leave = _pieces(model, flat, at)
     order, running = _grid(lengths)
-    begin = cut[order]
-    likes, alphas, scales = [], [], []
-    a = np.broadcast_to(model.start, (len(cut), states))
+    begin, opens, entry, leave = begin[order], opens[order], entry[order], leave[order]
+    likes, alphas, scales, total = [], [], [], 0.0
+    a = np.where(opens[:, None], entry, entry @ model.move)
     for t, n in enumerate(running.tolist()):
         e = model.emit[flat[begin[:n] + t]]
         a = (a[:n] if t == 0 else a[:n] @ model.move) * e
         s = a.sum(1, keepdims=True)
         a = a / s
+        total += float(np.log(s).sum())
         likes.append(e)
         alphas.append(a)
         scales.append(s)
     b = np.ones((0, states))
     for t in range(len(alphas) - 1, -1, -1):
-        n = len(alphas[t])
-        full = np.ones((n, states))
-        if t + 1 < len(alphas):
-            m = len(alphas[t + 1])
+        n, m = len(alphas[t]), len(b)
+        full = np.empty((n, states))
+        full[m:] = leave[m:n] / (alphas[t][m:] * leave[m:n]).sum(1, keepdims=True)
+        if m:
             ahead = likes[t + 1] * b / scales[t + 1]
             move += model.move * (alphas[t][:m].T @ ahead)
             full[:m] = ahead @ model.move.T
         b = full
+        if t == 0:
+            inner = ~opens
+            move += model.move * (entry[inner].T @ (likes[0] * b / scales[0])[inner])
         alphas[t] = alphas[t] * b
-    start += alphas[0].sum(0)
+    start += alphas[0][opens].sum(0)
     gamma = np.concatenate(alphas)
     where = flat[np.concatenate([begin[: len(x)] + t for t, x in enumerate(alphas)])]
     for k in range(states):
         emit[:, k] += np.bincount(where, gamma[:, k], len(emit))
-    return start, move, emit
+    return start, move, emit, total
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +248,9 @@ def _expected(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for part in _blocks(batch, 300_000):
-                got = np.vstack([np.atleast_2d(x) for x in expect(model, *_flat(part["classes"]))])
+            for part in _blocks(batch, 400_000):
+                *counts, like = expect(model, *_flat(part["classes"]))
+                got = np.vstack([*(np.atleast_2d(x) for x in counts), np.full((1, states), like)])
                 total = got if total is None else total + got
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), *[pa.array(total[:, k]) for k in range(states)]], ["i", *[f"s{k}" for k in range(states)]])
@@ -228,29 +270,39 @@ def _scores(model: Model, log_mass: np.ndarray):
     return run
 
 
-def train(coded: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Warm rounds on a bounded sample of whole texts, then rounds over all."""
-    model, classes = Model.first(mass, states), len(mass)
-    learn = coded.where("train")
-    rows = learn.select("classes", "n_tokens")
-    total = learn.agg(F.sum("n_tokens")).first()[0] or 0
-    if not total:
-        return model
-    share = min(1.0, WARM_TOKENS / 2 / total)
-    drawn = rows.where((F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) & (F.col("n_tokens") <= WARM_TOKENS // 20)).limit(WARM_TOKENS // 100)
-    sample = [r["classes"] for r in drawn.collect()]
-    if sample:
-        flat, at = _flat(pa.array(sample, pa.binary()))
-        for _ in range(WARM_ROUNDS):
-            model = Model.of(*expect(model, flat, at), mass)
+def train(coded: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Model, list[float]]:
+    """The model, and the log likelihood of all training texts at the begin of each round.
+    A round's sums are one table of the model's size, added up over all partitions."""
+    model, classes, likes = Model.first(mass, states), len(mass), []
+    rows = coded.where("train").select("classes", "n_tokens")
     for _ in range(rounds):
         sums = rows.mapInArrow(_expected(model), "i int, " + ", ".join(f"s{k} double" for k in range(states)))
         got = sums.groupBy("i").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).collect()
-        table = np.zeros((1 + states + classes, states))
+        if not got:
+            break
+        table = np.zeros((2 + states + classes, states))
         for r in got:
             table[r["i"]] = r[1:]
-        model = Model.of(table[0], table[1 : 1 + states], table[1 + states :], mass)
-    return model
+        model = Model.of(table[0], table[1 : 1 + states], table[1 + states : -1], mass)
+        likes.append(float(table[-1, 0]))
+        if len(likes) > 1 and likes[-1] - likes[-2] < gain * abs(likes[-2]):
+            break
+    return model, likes
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Words of (word, c) that are as frequent as the `most` first ones, at most so many:
+    words are counted by classes of their counts (some hundreds, whatever the table), and
+    whole classes are taken from the top. No task holds more than its own words."""
+    step = F.floor(F.log2("c") * 16)
+    held = sorted(counts.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    low, total = float("inf"), 0
+    for k, n in held:
+        total += n
+        if total > most:
+            break
+        low = k
+    return counts.where(step >= low) if held and low != float("inf") else counts.where("false")
 
 
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
@@ -261,9 +313,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, text: str
     counts = keep(source.where("train").select("text").mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     release(spark)
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    # the HEAD most frequent words: a size that the parameter bounds
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    head = most_frequent(counts, HEAD).toArrow()  # a size that the parameter bounds
     words, c = head["word"].to_numpy(), head["c"].to_numpy()
+    order = np.lexsort((words, -c))
+    words, c = words[order], c[order]
     classes = np.where(np.arange(len(words)) < OWN, np.arange(len(words)), other_class(np.ascontiguousarray(words)))
     order = np.argsort(words)
     vocabulary = Vocabulary(words[order], c[order], classes[order])
@@ -277,7 +330,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, text: str
     mass[OWN:] += 1.0  # one unknown word in each
     coded = source.mapInArrow(_code(vocabulary), CODED).select(F.monotonically_increasing_id().alias("row"), "*")
     coded = keep(coded, "coded", compression="zstd")
-    model = train(coded, mass, states, rounds)
+    model, _ = train(coded, mass, states, rounds)
     narrow = coded.select("row", "doc_id", "train", "n_tokens", "n_known", "head_sum", "classes")
     main = narrow.mapInArrow(_scores(model, np.log10(np.maximum(mass, 1.0))), "row long, doc_id long, train boolean, n_tokens long, n_known long, head_sum double, hmm double, class_sum double")
     rare = coded.select("row", F.explode("tail").alias("word")).join(counts.hint("merge"), "word").groupBy("row")

@@ -1,11 +1,14 @@
 """License notices by MinHash bands over overlapping windows, in DataFrame functions only.
 
+Templates are the notices below and the full texts in the folder licenses/.
+
 1. Anchors. Of each template some words are chosen so that fewer than 80 of 100 of its
    shingles do without them; a match then has one, and other documents and windows are
    left aside before any hashing.
 2. Windows. Templates of like length share a class. Its windows are as long as its longest
    template plus one stride (a quarter of that), so every run of a template's length lies
-   within a window.
+   within a window. Each window with an anchor is taken once, whatever the number of
+   anchors; texts too short for four fifths of the class's least template have none.
 3. Bands. A window's BANDS smallest hashes, one to a band, are looked up among the
    templates' (a broadcast table, bounded by the templates). A matching window and its
    template have a Jaccard similarity of 0.4 at least, so all bands miss with a
@@ -23,11 +26,14 @@ count as one document's; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, PERCENT, BANDS = 5, 80, 24
+BROADCAST_CHARS = 2_000_000
 SPLIT = r"[^\p{L}\p{N}]+"
 
 #: Notices as their licenses ask for them.
@@ -46,6 +52,13 @@ TEMPLATES = {
     "BSD-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
 }
 
+@lru_cache(1)
+def full_texts() -> dict[str, str]:
+    """The licenses' full texts, up to the end of their terms."""
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return {f"{f.stem}-full": f.read_text(encoding="utf-8").split("END OF TERMS AND CONDITIONS")[0] for f in files}
+
+
 #: Exact wordings, as words in lower case. A version is named where the wording has one.
 _GNU = {"GPL": ("gnu general public license", "gpl", "gnu gpl"), "LGPL": ("gnu lesser general public license", "lgpl", "gnu lgpl"), "AGPL": ("gnu affero general public license", "agpl", "gnu agpl")}
 _CC = {"BY": ("by", "attribution"), "BY-SA": ("by sa", "attribution sharealike"), "BY-ND": ("by nd", "attribution noderivatives"), "BY-NC": ("by nc", "attribution noncommercial"), "BY-NC-SA": ("by nc sa", "attribution noncommercial sharealike"), "BY-NC-ND": ("by nc nd", "attribution noncommercial noderivatives")}
@@ -105,6 +118,11 @@ def classes(templates: dict[str, str]) -> dict[str, int]:
     return out
 
 
+def n_shingles(text: str) -> int:
+    w = template_words(text)
+    return len({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))})
+
+
 def shingles(words: str) -> Column:
     """Distinct hashes of the shingles of an array of words."""
     return F.expr(f"array_distinct(transform(sequence(1, greatest(size({words}) - {SHINGLE - 1}, 1)), i -> xxhash64(array_join(slice({words}, i, {SHINGLE}), ' '))))")
@@ -124,25 +142,30 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 def find(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text") -> DataFrame:
     """(doc_id, name, containment) of each template found in a document."""
     spark = docs.sparkSession
-    templates = templates or TEMPLATES
+    templates = templates or TEMPLATES | full_texts()
     signs = anchors(templates)
     low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
     some = F.lit(False)
     for a in signs:
         some = some | low.contains(a)
     df = docs.where(some).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(F.filter(F.split(low, SPLIT), lambda x: x != ""))).alias("words"))
-    sizes = sorted(set(classes(templates).values()))
-    grid = F.array(*[F.struct(F.lit(n).alias("longest"), F.lit(max(1, n // 4)).alias("stride")) for n in sizes])
-    df = df.select("*", F.explode(grid).alias("g")).select("doc_id", "words", "g.longest", "g.stride")
+    longest = classes(templates)
+    least = {n: min(-(-n_shingles(t) * PERCENT // 100) for k, t in templates.items() if longest[k] == n) for n in set(longest.values())}
+    grid = F.array(*[F.struct(F.lit(n).alias("longest"), F.lit(max(1, n // 4)).alias("stride"), F.lit(least[n]).alias("least")) for n in sorted(least)])
     # the grid's windows that have an anchor: by the anchors' places, not by trying all
     places = F.expr("filter(transform(words, (x, i) -> CASE WHEN x IN (" + ", ".join(f"'{a}'" for a in signs) + ") THEN i END), x -> x IS NOT NULL)")
-    df = df.select("doc_id", "words", "longest", "stride", F.explode(places).alias("place"))
-    first = F.expr("greatest(0, cast(ceil((place - longest - stride + 1) / stride) AS int))")
-    df = df.select("doc_id", "words", "longest", "stride", F.explode(F.sequence(first, F.expr("cast(floor(place / stride) AS int)"))).alias("k"))
-    df = df.select("doc_id", "longest", F.explode(F.array(F.expr("slice(words, k * stride + 1, longest + stride)"))).alias("window"))
+    df = df.select("doc_id", "words", F.explode(F.array(places)).alias("places")).select("*", F.explode(grid).alias("g")).select("doc_id", "words", "places", "g.*")
+    df = df.where(f"size(words) - {SHINGLE - 1} >= least OR least = 1")
+    hits_of = "sequence(greatest(0, cast(ceil((p - longest - stride + 1) / stride) AS int)), cast(floor(p / stride) AS int))"
+    starts = F.array_distinct(F.flatten(F.expr(f"transform(places, p -> {hits_of})")))
+    df = df.select("doc_id", "longest", "stride", "words", F.explode(F.array(starts)).alias("starts"))
+    df = df.select("doc_id", "longest", F.explode(F.expr("transform(starts, k -> slice(words, k * stride + 1, longest + stride))")).alias("window"))
     df = df.select("doc_id", "longest", F.explode(F.array(shingles("window"))).alias("have"))
     df = df.select("doc_id", "longest", "have", F.posexplode(band_values("have")).alias("band", "value"))
-    hits = df.join(F.broadcast(_templates(spark, templates)), ["longest", "band", "value"])
+    known = _templates(spark, templates)
+    # the library's own templates are bounded; a caller's are sent to every task up to a size
+    small = sum(map(len, templates.values())) <= BROADCAST_CHARS
+    hits = df.join(F.broadcast(known) if small else known.hint("merge"), ["longest", "band", "value"])
     hits = hits.select("doc_id", "name", (F.size(F.array_intersect("have", "want")) / F.size("want")).alias("containment"))
     return hits.where(F.col("containment") * 100 >= PERCENT - 1e-9).groupBy("doc_id", "name").agg(F.max("containment").alias("containment"))
 

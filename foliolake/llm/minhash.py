@@ -10,9 +10,12 @@
 4. Pairs are confirmed on the full sets and components are joined. Most buckets are then
    within one component and done.
 5. Members of buckets that still hold several components form families (documents linked
-   by such buckets). A family's sets meet in blocks of bounded size, where inverted lists
-   of the shingles find the links that are left across components; only links leave a
-   block. So every pair that shares a bucket is either tried or in one component already.
+   by such buckets). Only pairs of different components are left to try, so a family's
+   largest component, its core, meets the rest but not itself: the rest is cut into blocks
+   of bounded size, the core too, and every block of the rest meets each other block once.
+   A core document is repeated for each block of the rest only, which are few. Inverted
+   lists of the shingles find the links within a pair of blocks; only links leave it. So
+   every pair that shares a bucket is either tried or in one component already.
 
 With 4 rows and 32 bands a pair at exactly the threshold 0.8 shares no bucket with
 probability (1 - 0.8^4)^32 < 5e-8.
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, U, chunks, mix, shingle_sets
-from .store import keep, release
+from .store import drop, keep, keep_at, new_path, release
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
@@ -123,12 +126,14 @@ def _confirm(words: int, percent: int):
     return run
 
 
-BLOCK_DOCS, BLOCK_SHINGLES = 2000, 2_000_000
+#: A half of a block pair, and the members of a star that share a task.
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS = 128, 256_000, 2_000
 
 
-def across(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
+def across(sets: list[np.ndarray], labels: list[int], percent: int, halves: list[int] | None = None) -> list[tuple[int, int]]:
     """Links between sets of different labels, as places; as few as join what belongs
-    together. Walks the inverted lists of each set's shingles."""
+    together. Walks the inverted lists of each set's shingles. With two halves only pairs
+    across them are tried, from the smaller one; with one half all pairs are."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, code = np.unique(flat, return_inverse=True)
@@ -138,15 +143,18 @@ def across(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tupl
     ends = np.append(0, np.cumsum(size))
     names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
     label = np.array([names[x] for x in labels])
+    half = np.array(halves if halves is not None else [0] * len(sets))
+    two = len(np.unique(half)) > 1
+    asked = np.flatnonzero(half == (0 if 2 * (half == 0).sum() <= len(half) else 1)) if two else np.arange(len(sets))
     links = []
-    for i in range(len(sets)):
+    for i in asked.tolist():
         codes = code[ends[i] : ends[i + 1]]
         lengths = head[codes + 1] - head[codes]
         lengths = lengths[lengths > 0]
         starts = head[codes][head[codes + 1] > head[codes]]
         places = np.repeat(starts - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
         both = np.bincount(posting[places], minlength=len(sets))
-        good = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (label != label[i]))
+        good = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (label != label[i]) & ((half != half[i]) | (not two)))
         for j in good.tolist():
             if label[j] != label[i]:
                 links.append((i, j))
@@ -155,25 +163,26 @@ def across(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tupl
 
 
 def _blocks(words: int, percent: int):
-    """Rows of one block after the other -> the links found in each."""
+    """Rows of one block pair after the other -> the links found in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, labels, sets = None, [], [], []
+        now, ids, labels, halves, sets = None, [], [], [], []
 
         def done() -> pa.RecordBatch:
-            found = across(sets, labels, percent) if len(set(labels)) > 1 else []
+            found = across(sets, labels, percent, halves) if len(set(labels)) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
             for part in chunks(batch, "text"):
                 made = shingle_sets(Texts(part["text"], lower=True), words)
-                for key, d, c, s in zip(part["block"].to_pylist(), part["doc_id"].to_pylist(), part["component"].to_pylist(), made, strict=True):
+                for key, d, c, h, s in zip(*(part[x].to_pylist() for x in ("block", "doc_id", "component", "half")), made, strict=True):
                     if key != now:
                         if ids:
                             yield done()
-                        now, ids, labels, sets = key, [], [], []
+                        now, ids, labels, halves, sets = key, [], [], [], []
                     ids.append(d)
                     labels.append(c)
+                    halves.append(h)
                     sets.append(s)
         if ids:
             yield done()
@@ -190,32 +199,43 @@ def _left_links(buckets: DataFrame, parts: DataFrame, sizes: DataFrame, source:
         return None
     family = components(left.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"))).withColumnsRenamed({"id": "doc_id", "component": "family"})
     member = keep(left.select("doc_id", "component").distinct().join(family, "doc_id").join(sizes, "doc_id"), "family")
-    cut = member.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
-    placed = member.join(cut, "family").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
-    # a document meets every block of its family: one row for each
-    dealt = placed.select("doc_id", "component", "family", "b", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("c"))
-    dealt = dealt.select("doc_id", "component", F.concat_ws(":", "family", F.least("b", "c"), F.greatest("b", "c")).alias("block"))
+    core = member.groupBy("family", "component").agg(F.count("*").alias("docs")).groupBy("family").agg(F.max(F.struct("docs", F.col("component").alias("core")))["core"].alias("core"))
+    placed = member.join(core, "family").withColumn("rest", F.col("component") != F.col("core"))
+    cut = lambda c: F.coalesce(F.ceil(F.greatest(F.count_if(c) / BLOCK_DOCS, F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES)), F.lit(0)).cast("int")
+    cuts = placed.groupBy("family").agg(cut(F.col("rest")).alias("r"), cut(~F.col("rest")).alias("c"))
+    placed = placed.join(cuts, "family").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("c"))).cast("int"))
+    # the core's blocks are numbered after the rest's; a pair of blocks has one key
+    own = F.col("b") + F.when(F.col("rest"), 0).otherwise(F.col("r"))
+    others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("c") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
+    dealt = placed.select("doc_id", "component", "family", own.alias("b"), F.explode(others).alias("o"))
+    dealt = dealt.select("doc_id", "component", F.concat_ws(":", "family", F.least("b", "o"), F.greatest("b", "o")).alias("block"), (F.col("b") > F.col("o")).cast("int").alias("half"))
     rows = dealt.join(source, "doc_id").repartition("block").sortWithinPartitions("block", "doc_id")
-    return rows.select("block", "doc_id", "component", "text").mapInArrow(_blocks(words, percent), "u long, v long")
+    return rows.select("block", "doc_id", "component", "half", "text").mapInArrow(_blocks(words, percent), "u long, v long")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(u, v) -> (id, component): the smallest id reachable, for ids with a link.
     Alternating large-star and small-star steps; each halves the depth of the trees
-    and writes its table, so no lineage grows and nothing is collected."""
-    pairs = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    and writes its table, so no lineage grows and nothing is collected. The table before
+    goes when the next one is written. Without an end in `rounds` steps this raises."""
+    spark = edges.sparkSession
+    at, before = new_path(spark, "edges"), None
+    pairs = keep_at(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), at)
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = keep(small.where("u <> v").distinct(), "stars")
+        old, at = at, new_path(spark, "stars")
+        pairs = keep_at(small.where("u <> v").distinct(), at)
+        drop(spark, old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -239,8 +259,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, ban
     used = tries.select("u").union(tries.select("v")).distinct()
     body = keep(source.join(used.withColumnRenamed("u", "doc_id").hint("merge"), "doc_id", "left_semi"), "bodies")
     release(spark)
-    pairs = tries.join(body.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")), "v")
-    pairs = pairs.join(body.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")), "u")
+    # a large star is cut into parts of STAR_DOCS members, each with the centre's text
+    stars = keep(tries.groupBy("u").agg(F.ceil(F.count("*") / STAR_DOCS).cast("int").alias("g")), "centres")
+    parted = tries.join(stars.hint("merge"), "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("g")).cast("int").alias("s"))
+    pairs = parted.join(body.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")), "v")
+    centres = stars.join(body.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")), "u").select("u", "ut", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("s"))
+    pairs = pairs.join(centres, ["u", "s"])
     links = keep(pairs.select("u", "v", "ut", "vt").mapInArrow(_confirm(words, percent), "u long, v long"), "links")
     release(spark)
     more = _left_links(buckets, keep(components(links), "parts"), known.select("doc_id", "n"), body, words, percent)

@@ -43,7 +43,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.filter("spans", lambda x: x["base"])
     counts = [F.expr(f"size(filter(spans, x -> x.base AND x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return df.select("doc_id", *counts, F.sha2(joined(sure).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return df.select("doc_id", *counts, F.sha2(joined(sure).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

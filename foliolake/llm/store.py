@@ -13,15 +13,16 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the
-    setting is missing (single-machine tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, or the one set as checkpoint folder. With
+    neither, one machine's session (tests) gets a temporary one; a cluster's is refused,
+    since its executors share no local folder."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliolake-"))
         found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliolake-"))
-            found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -36,9 +37,13 @@ def keep(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it again: later steps depend on
     files, not on executors."""
     spark = df.sparkSession
-    path = new_path(spark, what)
+    return keep_at(df, new_path(spark, what), **options)
+
+
+def keep_at(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """The same at a path that the caller drops when no later step reads it."""
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -7,11 +7,13 @@ has no bound, so its automata are not broadcast: texts meet in shards instead.
 1. Seeds. The smallest hash of a window's GRAM-word shingles is its seed; equal windows
    have equal seeds. Seeds of one document only need no further look.
 2. Contexts. Runs of windows with the same repeated seed, with all words they cover, go
-   to that seed's shard; equal contexts of a task once, with their smallest id. Seeds in
-   more than HOT documents are split further: each window goes by its own hash.
+   to that seed's shard. A task sends the words of a context once, and again only with a
+   smaller id than before, so a passage that is everywhere is a few rows a task. Seeds in
+   more than HOT documents are split further, so that their shards are many: each window
+   goes by its own hash, which makes it the only context of its shard.
 3. Shards. In the order of ids, the contexts of a shard are streamed through the suffix
    automaton of all contexts before them; matching statistics of at least `window` mark
-   windows as seen. Then they are added to it.
+   windows as seen. Then they are added to it. A shard holds each context once.
 4. The marks return to all occurrences of a context and to their documents' texts.
 
 Cases: a null or empty text has no words; texts shorter than a window stay whole; rows
@@ -134,8 +136,12 @@ def prints(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U))
 
 
+SENT = 400_000  # contexts that a task remembers
+
+
 def _contexts(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, int] = {}
         for batch in batches:
             for part in chunks(batch, "text"):
                 texts = Texts(part["text"], lower=False)
@@ -173,8 +179,14 @@ def _contexts(window: int, gram: int):
                 lead[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
                 raw = h.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes() if len(h) else b""
                 words: list[bytes | None] = [None] * len(first)
-                for i in order[lead].tolist():
-                    words[i] = raw[BYTES * place[i] : BYTES * to[i]]
+                if len(sent) > SENT:
+                    sent.clear()
+                leads = order[lead]
+                # one number for a seed and a context: both are hashes
+                for i, name, d in zip(leads.tolist(), mix(key[leads] ^ mix(context[leads])).tolist(), ids[leads].tolist(), strict=True):
+                    if sent.get(name, d + 1) > d:
+                        sent[name] = d
+                        words[i] = raw[BYTES * place[i] : BYTES * to[i]]
                 cols = [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids, pa.int64()), pa.array((place - texts.first[doc[first]]).astype(np.int32)), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["seed", "context", "doc_id", "at", "words"])
 
@@ -194,9 +206,8 @@ def _shards(window: int):
     """Rows sorted by seed and id -> one row a context: its smallest id, and a bit for
     each of its windows that a still smaller id has."""
 
-    def one(group: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-        done: dict[int, tuple[int, int, int]] = {}
-        fresh = [x for x in group if not (x[0] in done or done.update({x[0]: (x[1], 0, len(x[2]) // BYTES - window + 1)}))]
+    def one(fresh: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+        done = {c: (d, 0, len(w) // BYTES - window + 1) for c, d, w in fresh}
         if len(fresh) > 1:
             made, i = Automaton(), 0
             while i < len(fresh):
@@ -215,7 +226,7 @@ def _shards(window: int):
         return [(k, *v) for k, v in done.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, out = None, [], []
+        now, group, seen, out = None, [], set(), []
 
         def batch_of() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -228,10 +239,12 @@ def _shards(window: int):
             for s, c, d, w in zip(*(batch[k].to_pylist() for k in ("seed", "context", "doc_id", "words")), strict=True):
                 if s != now:
                     out.extend((now, *x) for x in one(group))
-                    now, group = s, []
+                    now, group, seen = s, [], set()
                     if len(out) >= 20_000:
                         yield batch_of()
-                group.append((c, d, w))
+                if c not in seen:  # the first one has the smallest id
+                    seen.add(c)
+                    group.append((c, d, w))
         out.extend((now, *x) for x in one(group))
         yield batch_of()
 

@@ -114,6 +114,12 @@ def read_starts(spark: SparkSession, where: str) -> DataFrame:
     return with_starts(spark.read.parquet(where).select("shard", "row", "doc_id", "n_tokens"), spark, where)
 
 
+def read_documents(spark: SparkSession, where: str, first: int, last: int, columns: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
+    """Documents of a range of ids: the filter reaches the scan, where the row groups and
+    pages whose ids lie outside are skipped, and only the named columns are read."""
+    return spark.read.parquet(where).where(F.col("doc_id").between(first, last)).select(*columns)
+
+
 def with_starts(rows: DataFrame, spark: SparkSession, where: str) -> DataFrame:
     """Adds start to rows (shard, row, n_tokens, ...). The shards' sums are one row a
     shard, so few that they are sorted together and broadcast."""
