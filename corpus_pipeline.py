@@ -1,4 +1,8 @@
-"""From raw documents to token ids, in five stages that each write their table."""
+"""From raw documents to token ids, in five stages that each write their table.
+
+Null and empty texts have no words and go with the first stage; repeated rows of one id
+stay one document from the second stage on; an empty table gives an empty result; extra
+columns stay up to the last stage, which returns the ids."""
 
 from __future__ import annotations
 
@@ -17,7 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.keep_first_seen(docs, f"corpus_{uuid.uuid4().hex}")
+    """The index is made for this run and dropped, so that a run's result depends on its
+    documents alone; a growing corpus would give keep_first_seen one name for all runs."""
+    name = f"corpus_{uuid.uuid4().hex}"
+    try:
+        return exact_dedup.keep_first_seen(docs, name)
+    finally:
+        exact_dedup.DigestIndex(spark, name).drop()
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", tokens)]
 
-#: MinHash classes and BPE merges have no SQL; tests compare with a plain version.
+#: MinHash classes and BPE merges have no SQL; a test compares run() with a plain version.
 ORACLE_SQL = None
 
 
