@@ -32,7 +32,7 @@ from .kernels import Texts, U, chunks, mix
 from .store import keep, release
 
 STATES, OWN, HASHED, HEAD = 8, 2048, 512, 1 << 18
-ROUNDS, GAIN, LONG, PIECE = 8, 1e-4, 512, 256
+ROUNDS, GAIN, LONG, PIECE = 7, 1e-4, 1024, 256
 END = np.int64(0x1E57_0F7E_47)
 
 
@@ -229,9 +229,11 @@ def expect(model: Model, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = lists.to_pylist()
-    at = np.append(0, np.cumsum([len(x) // 2 for x in parts])).astype(np.int64)
-    return np.frombuffer(b"".join(parts), "<u2").astype(np.int64), at
+    """All classes in one array, and each row's bounds in it, from the column's buffers."""
+    lists = lists.cast(pa.large_binary())
+    at = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+    raw = np.frombuffer(lists.buffers()[2], np.uint8)[at[0] : at[-1]] if len(lists) and lists.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return raw.view("<u2").astype(np.int64), (at - at[0]) // 2 if len(lists) else np.zeros(1, np.int64)
 
 
 def _blocks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
