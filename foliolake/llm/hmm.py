@@ -32,7 +32,7 @@ from .kernels import Texts, U, chunks, mix
 from .store import keep, release
 
 STATES, OWN, HASHED, HEAD = 8, 2048, 512, 1 << 18
-ROUNDS, GAIN, LONG, PIECE = 7, 1e-4, 1024, 256
+ROUNDS, GAIN, LONG, PIECE = 6, 1e-4, 1024, 256
 END = np.int64(0x1E57_0F7E_47)
 
 
