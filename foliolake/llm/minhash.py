@@ -127,7 +127,7 @@ def _confirm(words: int, percent: int):
 
 
 #: A half of a block pair, and the members of a star that share a task.
-BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS = 128, 256_000, 2_000
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS, SALTS = 128, 256_000, 2_000, 32
 
 
 def across(sets: list[np.ndarray], labels: list[int], percent: int, halves: list[int] | None = None) -> list[tuple[int, int]]:
@@ -199,11 +199,15 @@ def _left_links(buckets: DataFrame, parts: DataFrame, sizes: DataFrame, source:
         return None
     family = components(left.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"))).withColumnsRenamed({"id": "doc_id", "component": "family"})
     member = keep(left.select("doc_id", "component").distinct().join(family, "doc_id").join(sizes, "doc_id"), "family")
-    core = member.groupBy("family", "component").agg(F.count("*").alias("docs")).groupBy("family").agg(F.max(F.struct("docs", F.col("component").alias("core")))["core"].alias("core"))
-    placed = member.join(core, "family").withColumn("rest", F.col("component") != F.col("core"))
-    cut = lambda c: F.coalesce(F.ceil(F.greatest(F.count_if(c) / BLOCK_DOCS, F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES)), F.lit(0)).cast("int")
-    cuts = placed.groupBy("family").agg(cut(F.col("rest")).alias("r"), cut(~F.col("rest")).alias("c"))
-    placed = placed.join(cuts, "family").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("c"))).cast("int"))
+    # of each family its core and the numbers of blocks, from sums of components; families are
+    # joined in SALTS parts, so that a large one is not one task's
+    per = member.groupBy("family", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    core = per.groupBy("family").agg(F.max(F.struct("docs", "component", "n")).alias("core"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    cut = lambda docs, n: F.ceil(F.greatest(docs / BLOCK_DOCS, n / BLOCK_SHINGLES)).cast("int")
+    info = core.select("family", F.col("core.component").alias("core"), cut(F.col("docs") - F.col("core.docs"), F.col("n") - F.col("core.n")).alias("r"), cut(F.col("core.docs"), F.col("core.n")).alias("c"))
+    info = info.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = member.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int")).join(info, ["family", "salt"]).withColumn("rest", F.col("component") != F.col("core"))
+    placed = placed.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("c"))).cast("int"))
     # the core's blocks are numbered after the rest's; a pair of blocks has one key
     own = F.col("b") + F.when(F.col("rest"), 0).otherwise(F.col("r"))
     others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("c") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
