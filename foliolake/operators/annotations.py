@@ -33,3 +33,89 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         cond = cond & (F.col(k) == F.col("r_" + k))
     return a.join(right, cond, "left_anti")
+
+
+def blanks(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, end of each run of white space in the text."""
+    at = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(1)).rlike(r"(?U)\s"))
+    places = lines.where(F.length("text") > 0).select(*keys, F.explode(at).alias("i"))
+    return places.select(*keys, (F.col("i") - 1).cast("long").alias("start"), F.col("i").cast("long").alias("end"))
+
+
+def merge_bridged(rows: DataFrame, lines: DataFrame, keys: list[str], fixed: tuple[str, ...] = ()) -> DataFrame:
+    """Spans (keys, name, value, start, end) of one name and value that overlap, touch or
+    lie a white space apart, as one. Names in `fixed` aren't merged, nor are spans alone."""
+    group = [*keys, "name", "value"]
+    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(*group)))
+    alone = (F.col("n") == 1) | F.col("name").isin(*fixed) if fixed else F.col("n") == 1
+    many = counted.where(~alone).select(*group, "start", "end", F.lit(1).alias("own"))
+    bridges = many.select(*group).distinct().join(blanks(lines, keys), keys).select(*group, "start", "end", F.lit(0).alias("own"))
+    w = Window.partitionBy(*group).orderBy("start", F.desc("own"), "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = many.unionByName(bridges).withColumn("island", F.sum((reach.isNull() | (reach < F.col("start"))).cast("int")).over(w))
+    own = lambda c: F.when(F.col("own") == 1, F.col(c))
+    merged = marked.groupBy(*group, "island").agg(F.min(own("start")).alias("start"), F.max(own("end")).alias("end")).where("start IS NOT NULL")
+    return merged.select(*group, "start", "end").unionByName(counted.where(alone).select(*group, "start", "end"))
+
+
+def resolve(rows: DataFrame, lines: DataFrame, keys: list[str], fixed: tuple[str, ...] = ()) -> DataFrame:
+    """Of the spans of one name that contradict each other, those that begin at or after
+    the end of the last one stay; one that overlaps takes the last one's place if that
+    covers text that begins with white space. A fold over the sorted spans of a line."""
+    free = rows.where(~F.col("name").isin(*fixed)) if fixed else rows
+    spans = free.groupBy(*keys, "name").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("spans")).join(lines.select(*keys, "text"), keys)
+    blank = lambda x: F.substring(F.col("text"), (x["start"] + 1).cast("int"), F.lit(1)).rlike(r"(?U)\s") & (x["end"] > x["start"])
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        fits = last.isNull() | (x["start"] >= last["end"])
+        instead = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(x))
+        return F.when(fits, F.array_append(acc, x)).when(blank(last), instead).otherwise(acc)
+
+    kept = spans.select(*keys, "name", F.explode(F.aggregate("spans", F.slice("spans", 1, 0), step)).alias("x")).select(*keys, "name", "x.value", "x.start", "x.end")
+    return kept.unionByName(rows.where(F.col("name").isin(*fixed)).select(*kept.columns)) if fixed else kept
+
+
+def select(annotations, start, stop):
+    """Annotations of the slice [start:stop] of a line that is cut in two: those that reach
+    into it (its end counts too), based on its start. Tables and attachments stay with the
+    first piece and cover it."""
+    start, stop = (F.lit(x).cast("long") if isinstance(x, int) else x.cast("long") for x in (start, stop))
+    linked = lambda a: a["name"].isin("table", "attachment")
+    kept = F.filter(annotations, lambda a: F.when(linked(a), start == 0).otherwise((a["end"] > start) & (a["start"] <= stop)))
+    piece = lambda a: F.struct(
+        F.when(linked(a), F.lit(0).cast("long")).otherwise(F.greatest(a["start"], start) - start).alias("start"),
+        F.when(linked(a), stop - start).otherwise(F.least(a["end"], stop) - start).alias("end"), a["name"].alias("name"), a["value"].alias("value"),
+    )
+    return F.transform(kept, piece)
+
+
+BOX = "x_top_left double, y_top_left double, width double, height double, page_width double, page_height double"
+
+
+def moved_box(value, dx: float, dy: float, page_width: float, page_height: float):
+    """A box as JSON in shares of its page, moved by pixels and put on a page of another
+    size: places are shares again."""
+    box = F.from_json(value, BOX)
+    place = lambda c, size, d, new: ((box[c] * box[size] + d) / new).alias(c)
+    return F.to_json(F.struct(
+        place("x_top_left", "page_width", dx, page_width), place("y_top_left", "page_height", dy, page_height),
+        place("width", "page_width", 0.0, page_width), place("height", "page_height", 0.0, page_height),
+        F.lit(page_width).alias("page_width"), F.lit(page_height).alias("page_height"),
+    ))
+
+
+def overlapping_boxes(a: DataFrame, b: DataFrame, keys: list[str], cell: float = 100.0) -> DataFrame:
+    """Boxes of a (keys, id, x, y, width, height) that no box of b meets. Both sides are
+    dealt to the squares of a grid that they touch, so the join is on equal keys and a
+    page with many boxes isn't compared all with all."""
+    def dealt(df: DataFrame, p: str) -> DataFrame:
+        span = lambda lo, n: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(n)) / cell))
+        out = df.select(*keys, *[F.col(c).alias(p + c) for c in df.columns if c not in keys], F.explode(span("x", "width")).alias("gx"), "y", "height")
+        return out.select("*", F.explode(span("y", "height")).alias("gy")).drop("y", "height")
+
+    left, right = dealt(a, "l_"), dealt(b.select(*keys, "x", "y", "width", "height"), "r_")
+    c = F.col
+    meets = (c("l_x") < c("r_x") + c("r_width")) & (c("r_x") < c("l_x") + c("l_width")) & (c("l_y") < c("r_y") + c("r_height")) & (c("r_y") < c("l_y") + c("l_height"))
+    hit = left.join(right, [*keys, "gx", "gy"]).where(meets).select(*keys, c("l_id").alias("id")).distinct()
+    return a.join(hit, [*keys, "id"], "left_anti")

@@ -71,3 +71,28 @@ def offsets(text: str = "text", sep: int = 1) -> Column:
     annotations of the line move by it, see shift()."""
     before = Window.partitionBy("doc_id").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(F.length(text) + sep).over(before), F.lit(0)).cast("long")
+
+
+def join_lines(lines: DataFrame, sep: str = "\n") -> DataFrame:
+    """doc_id, text, annotations: a document's lines as one, annotations moved along. The
+    offsets are a window's running sum; a document is one row of the result."""
+    moved = lines.select("doc_id", "line_id", "text", shift(F.col("annotations"), offsets("text", len(sep))).alias("annotations"))
+    rows = moved.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "text", "annotations"))).alias("rows"))
+    return rows.select("doc_id", F.array_join(F.transform("rows", lambda r: r["text"]), sep).alias("text"), F.flatten(F.transform("rows", lambda r: r["annotations"])).alias("annotations"))
+
+
+def post_split(lines: DataFrame, kinds: list[str], patterns: list[tuple[str, str | None]]) -> DataFrame:
+    """Lines (doc_id, line_id, text, line_type, uid) of some types cut after the first
+    pattern that matches at their start, or before what its second pattern finds in the
+    match. The rest becomes raw text with the uid and _split; empty raw text is dropped."""
+    head = F.lit("")
+    for pattern, stop in reversed(patterns):
+        found = F.regexp_extract("text", f"^(?:{pattern})", 0)
+        cut = F.regexp_extract(found, f"^(.*?)(?:{stop})", 1) if stop else found
+        head = F.when(F.col("text").rlike(f"^(?:{pattern})"), F.when(found.rlike(stop), cut).otherwise(found) if stop else found).otherwise(head)
+    head = F.when(F.col("line_type").isin(*kinds), head).otherwise("")
+    rows = lines.where((F.col("line_type") != "raw_text") | (F.col("text") != "")).withColumn("head", head)
+    whole = F.struct(F.lit(0).alias("part"), F.when(F.col("head") != "", F.col("head")).otherwise(F.col("text")).alias("text"), F.col("uid").alias("uid"), F.col("line_type").alias("line_type"))
+    rest = F.struct(F.lit(1).alias("part"), F.substring("text", F.length("head") + 1, F.length("text")).alias("text"), F.concat("uid", F.lit("_split")).alias("uid"), F.lit("raw_text").alias("line_type"))
+    pieces = F.when((F.col("head") != "") & (F.length("text") > F.length("head")), F.array(whole, rest)).otherwise(F.array(whole))
+    return rows.select("doc_id", "line_id", F.explode(pieces).alias("x")).select("doc_id", "line_id", "x.*")

@@ -117,5 +117,5 @@ def same_kind_next(kind: Column, a: Column, b: Column) -> Column:
     prefix = lambda v, n: F.slice(v, F.lit(1), n)
     deeper = (F.size(y) == F.size(x) + 1) & (prefix(y, F.size(x)) == x) & (F.element_at(y, -1) == 1)
     level = (F.size(y) <= F.size(x)) & (F.size(y) >= 1) & (prefix(x, F.size(y) - 1) == prefix(y, F.size(y) - 1)) & (F.get(y, F.size(y) - 1) == F.get(x, F.size(y) - 1) + 1)
-    letter = (F.ascii(b) == F.ascii(a) + 1) | ((a == "е") & (b == "ё")) | ((a == "ё") & (b == "ж"))
+    letter = (F.ascii(b) == F.ascii(a) + 1) | (a.startswith("е") & b.startswith("ё")) | (a.startswith("ё") & b.startswith("ж"))
     return F.when(kind == "dotted", deeper | level).when(kind == "bracket", b.try_cast("long") == a.try_cast("long") + 1).when(kind == "letter", letter).when(kind == "bullet", a == b).otherwise(F.lit(True))
