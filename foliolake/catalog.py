@@ -99,7 +99,7 @@ def text_render(spark, d):
     return tree.render(tree.build_tree(structured.levelled(spark, d)))
 
 
-@query(S + " SELECT doc_id, '0.' || line_id AS node_id, text FROM L")
+@query(S + " SELECT doc_id, '0.' || line_id AS node_id, text FROM L UNION ALL SELECT DISTINCT doc_id, '0', '' FROM L")
 def linear_nodes(spark, d):
     return tree.linear(structured.lines(spark, d))
 

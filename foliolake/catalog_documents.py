@@ -111,11 +111,12 @@ def box_rows(spark, d):
     return tables.rows_of_boxes(boxes).select("table_id", "ord", "row_id", "col_id")
 
 
-@query("""WITH RECURSIVE C AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, l_linenumber % 4 * 100 + l_partkey % 7 AS x, l_suppkey % 3 * 40 + l_partkey % 5 AS y, CASE WHEN l_partkey % 3 = 0 THEN 200 ELSE 100 END AS w, 40 AS h, l_returnflag AS text FROM lineitem),
+@query("""WITH C AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, l_linenumber % 4 * 100 + l_partkey % 7 AS x, l_suppkey % 3 * 40 + l_partkey % 5 AS y, CASE WHEN l_partkey % 3 = 0 THEN 200 ELSE 100 END AS w, 40 AS h, l_returnflag AS text FROM lineitem),
     S AS (SELECT k, min(w) / 2 AS ex, min(h) / 2 AS ey FROM C GROUP BY k),
     B AS (SELECT DISTINCT k, 'x' AS axis, unnest([x, x + w]) AS b FROM C UNION SELECT DISTINCT k, 'y', unnest([y, y + h]) FROM C),
-    N AS (SELECT *, row_number() OVER (PARTITION BY k, axis ORDER BY b) AS j, CASE axis WHEN 'x' THEN ex ELSE ey END AS near FROM B JOIN S USING (k)),
-    A AS (SELECT k, axis, j, b, b AS snap FROM N WHERE j = 1 UNION ALL SELECT n.k, n.axis, n.j, n.b, CASE WHEN n.b - a.snap <= n.near THEN a.snap ELSE n.b END FROM A a JOIN N n ON n.k = a.k AND n.axis = a.axis AND n.j = a.j + 1),
+    L AS (SELECT k, axis, CASE axis WHEN 'x' THEN any_value(ex) ELSE any_value(ey) END AS near, list(b::DOUBLE ORDER BY b) AS bs FROM B JOIN S USING (k) GROUP BY k, axis),
+    R AS (SELECT k, axis, bs, list_reduce(list_transform(bs, lambda x: [[x, x, near]]), lambda acc, x: list_append(acc, [x[1][1], CASE WHEN x[1][1] - acc[-1][2] <= x[1][3] THEN acc[-1][2] ELSE x[1][1] END, x[1][3]])) AS r FROM L),
+    A AS (SELECT k, axis, u[1] AS b, u[2] AS snap FROM (SELECT k, axis, unnest(r) AS u FROM R)),
     G AS (SELECT k, axis, b, dense_rank() OVER (PARTITION BY k, axis ORDER BY snap) - 1 AS i FROM A),
     P AS (SELECT c.k, c.ord, c.text, l.i AS l, r.i AS r, t.i AS t, b.i AS b FROM C c JOIN G l ON l.k = c.k AND l.axis = 'x' AND l.b = c.x JOIN G r ON r.k = c.k AND r.axis = 'x' AND r.b = c.x + c.w JOIN G t ON t.k = c.k AND t.axis = 'y' AND t.b = c.y JOIN G b ON b.k = c.k AND b.axis = 'y' AND b.b = c.y + c.h),
     E AS (SELECT *, unnest(range(t::BIGINT, b::BIGINT)) AS row_id FROM P), F AS (SELECT *, unnest(range(l::BIGINT, r::BIGINT)) AS col_id FROM E), H AS (SELECT k, row_id, col_id, max(ord) AS ord FROM F GROUP BY ALL),

@@ -35,9 +35,6 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.regexp_extract(url, r"^[a-z]+://([^/]+)", 1), F.regexp_extract(url, r"^[a-z]+://[^/]+(/.*)$", 1)
 
 
-def without_trailing_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+$", "")
-
 
 def indel_ratio(a: str, b: str) -> float:
     """2 x longest common subsequence / summed length."""
@@ -49,3 +46,23 @@ def indel_ratio(a: str, b: str) -> float:
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
     return 2 * row[-1] / (len(a) + len(b))
+
+
+def pdf_time(c: Column) -> Column:
+    """Seconds since 1970 of a time as PDF files write it (D:YYYYMMDDHHmmSS, then an offset
+    like +03'00' or Z), or of a common written date; null where none is found."""
+    text = F.replace(c, F.lit("D:"), F.lit(""))
+    digits = F.regexp_extract(text, r"^(\d{14})", 1)
+    sign, hours, minutes = (F.regexp_extract(text, r"^\d{14}([+-])(\d{2})'?(\d{2})'?", i) for i in (1, 2, 3))
+    offset = (hours.cast("long") * 3600 + minutes.cast("long") * 60) * F.when(sign == "-", -1).otherwise(1)
+    exact = F.unix_timestamp(F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")))
+    day = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})", 1)
+    short = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
+    loose = F.unix_timestamp(F.coalesce(F.try_to_timestamp(F.replace(day, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(short, F.lit("yyyy-MM-dd"))))
+    return F.when(digits != "", F.when(sign != "", exact - offset).otherwise(exact)).otherwise(loose)
+
+
+def capped_name(name: Column, most: int = 255) -> Column:
+    """A file name of at most so many characters; the stem is cut, not the extension."""
+    stem, ext = stem_and_extension(name)
+    return F.concat(F.substring(stem, F.lit(1), most - F.length(ext)), ext)

@@ -176,3 +176,62 @@ def nearest_lines(items: DataFrame, rows: DataFrame) -> DataFrame:
     for f in found[1:]:
         out = out.unionByName(f)
     return out.select("item_id", "best.ratio", (-F.col("best.d")).alias("doc_id"), (-F.col("best.l")).alias("line_id"))
+
+
+def weighted_folds(rows: DataFrame, key: str, label: str, pred: str, k: int) -> DataFrame:
+    """fold, precision, recall, f1, weighted by support: k folds of rows in the order of a
+    number, each of neighbours. Folds come from global ranks, not from one sorted task."""
+    from .relational import global_order
+
+    n = rows.count()
+    ranked = global_order(rows.withColumn("__key", -F.col(key)), "__key", [key], "__rank")
+    folds = ranked.withColumn("fold", F.floor(F.col("__rank") * k / max(n, 1)).cast("long"))
+    hit = (F.col(label) == F.col(pred)).cast("int")
+    true = folds.groupBy("fold", F.col(label).alias("c")).agg(F.count("*").alias("support"), F.sum(hit).alias("tp"))
+    said = folds.groupBy("fold", F.col(pred).alias("c")).agg(F.count("*").alias("p"))
+    each = true.join(said, ["fold", "c"], "left").select("fold", "support", (F.col("tp") / F.col("support")).alias("r"), F.coalesce(F.col("tp") / F.col("p"), F.lit(0.0)).alias("pr"))
+    each = each.withColumn("f", F.coalesce(F.try_divide(2 * F.col("pr") * F.col("r"), F.col("pr") + F.col("r")), F.lit(0.0)))
+    mean = lambda c, name: F.round(F.sum(F.col("support") * F.col(c)) / F.sum("support"), 6).alias(name)
+    return each.groupBy("fold").agg(mean("pr", "precision"), mean("r", "recall"), mean("f", "f1"))
+
+
+def teds(a: tuple, b: tuple) -> float:
+    """Similarity of two trees (label, children...): 1 - edit distance / size of the larger
+    one. Inserting, deleting and renaming a node cost 1."""
+
+    def flat(t: tuple) -> tuple[list, list[int], list[int]]:
+        names, left, keys = [], [], {}
+
+        def walk(n: tuple) -> int:
+            first = None
+            for child in n[1:]:
+                at = walk(child)
+                first = at if first is None else first
+            names.append(n[0])
+            left.append(first if first is not None else len(names) - 1)
+            keys[left[-1]] = len(names) - 1
+            return left[-1]
+
+        walk(t)
+        return names, left, sorted(keys.values())
+
+    (na, la, ka), (nb, lb, kb) = flat(a), flat(b)
+    cost = [[0] * len(nb) for _ in na]
+    for i in ka:
+        for j in kb:
+            x, y = la[i], lb[j]
+            rows, cols = i - x + 2, j - y + 2
+            d = [[0] * cols for _ in range(rows)]
+            for r in range(1, rows):
+                d[r][0] = r
+            for c in range(1, cols):
+                d[0][c] = c
+            for r in range(1, rows):
+                for c in range(1, cols):
+                    p, q = x + r - 1, y + c - 1
+                    if la[p] == x and lb[q] == y:
+                        d[r][c] = min(d[r - 1][c] + 1, d[r][c - 1] + 1, d[r - 1][c - 1] + (na[p] != nb[q]))
+                        cost[p][q] = d[r][c]
+                    else:
+                        d[r][c] = min(d[r - 1][c] + 1, d[r][c - 1] + 1, d[la[p] - x][lb[q] - y] + cost[p][q])
+    return 1 - cost[-1][-1] / max(len(na), len(nb))

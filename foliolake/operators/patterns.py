@@ -75,12 +75,19 @@ DEFAULT = (
 _REGEXPS = {"dotted_list": DOTTED, "roman_list": ROMAN, "bracket_list": BRACKET, "bracket_roman_list": BRACKET_ROMAN, "letter_list": LETTER, "bullet_list": BULLET}
 
 
+#: Patterns that users add by name, see plugins.pattern().
+MAKERS: dict = {}
+
+
 def parse_patterns(literal: str) -> tuple[Pattern, ...]:
     """Patterns from a literal list of dictionaries with a name and its parameters."""
     out = []
     for item in ast.literal_eval(literal):
         item = dict(item)
         name = item.pop("name", None)
+        if name in MAKERS:
+            out.append(MAKERS[name](**item))
+            continue
         if name in _REGEXPS:
             item.setdefault("regexp", _REGEXPS[name])
             item.setdefault("line_type", "list_item")

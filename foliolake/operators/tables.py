@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,3 +64,23 @@ def cell_text(lines: DataFrame) -> DataFrame:
     """Cells of lines, in their order."""
     parts = F.array_sort(F.collect_list(F.struct("line_id", "text")))
     return lines.groupBy("table_id", "row_id", "col_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+
+
+def equal_headers(cells: DataFrame, share: float = 0.8) -> DataFrame:
+    """table_id, equal_next: whether the next table's header (row_id, col_id, text) has the
+    same shape and alike texts in every place."""
+    from .evaluation import similarity
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict = {}
+        return pd.Series([known[p] if p in known else known.setdefault(p, similarity(*p)) for p in zip(a, b)])
+
+    place = ["table_id", "row_id", "col_id"]
+    sizes = cells.groupBy("table_id").agg(F.count("*").alias("n"), F.max("row_id").alias("rows"))
+    after = sizes.select((F.col("table_id") - 1).alias("table_id"), F.col("n").alias("m"), F.col("rows").alias("after_rows"))
+    pairs = cells.join(cells.select((F.col("table_id") - 1).alias("table_id"), "row_id", "col_id", F.col("text").alias("other")), place)
+    good = pairs.groupBy("table_id").agg(F.count("*").alias("met"), F.min((alike("text", "other") >= share).cast("int")).alias("ok"))
+    both = sizes.join(after, "table_id", "left").join(good, "table_id", "left")
+    same = (F.col("n") == F.col("m")) & (F.col("rows") == F.col("after_rows")) & (F.col("met") == F.col("n")) & (F.col("ok") == 1)
+    return both.select("table_id", F.coalesce(same, F.lit(False)).alias("equal_next"))

@@ -117,9 +117,10 @@ def build_tree(lines: DataFrame) -> DataFrame:
 
 
 def linear(lines: DataFrame) -> DataFrame:
-    """One node a line below an empty root."""
+    """An empty root for each document and one node a line below it."""
     w = Window.partitionBy("doc_id").orderBy("line_id")
-    return lines.select("doc_id", F.concat(F.lit("0."), (F.row_number().over(w) - 1).cast("string")).alias("node_id"), "text")
+    below = lines.select("doc_id", F.concat(F.lit("0."), (F.row_number().over(w) - 1).cast("string")).alias("node_id"), "text")
+    return below.unionByName(lines.select("doc_id").distinct().select("doc_id", F.lit("0").alias("node_id"), F.lit("").alias("text")))
 
 
 def parents(nodes: DataFrame) -> DataFrame:

@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import attach
-from .windows import stream_counts
+from .windows import stream_counts, stream_users
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Below spark.checkpoint.dir, which all executors share; a temporary one of this
-    machine only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="foliolake-stream-")
+    """Below spark.checkpoint.dir, which all executors share; a temporary one only for a
+    session of one machine where that is unset (tests). A cluster without it is refused."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="foliolake-stream-")
     path = f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def drop() -> None:
@@ -35,3 +40,10 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     appended once the watermark has passed a day."""
     path = work_folder(spark)
     return stream_counts(attach(spark), f"{sf_dir}/events.parquet*", f"{path}/state", f"{path}/out").withColumn("start", F.col("start").cast("string"))
+
+
+def user_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user and the last time, by a stream with state."""
+    path = work_folder(spark)
+    got = stream_users(attach(spark), f"{sf_dir}/events.parquet*", f"{path}/state", f"{path}/out")
+    return got.select("user_id", "n", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
