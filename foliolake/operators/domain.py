@@ -37,7 +37,7 @@ def _with_units(lines: DataFrame, unit: Column) -> DataFrame:
     none = F.struct(F.lit("raw_text").alias("line_type"), F.lit(None).cast("double").alias("level_1"), F.lit(None).cast("double").alias("level_2"), F.lit(False).alias("can_be_multiline"), F.lit(False).alias("carries"))
     rows = rows.withColumn("last", last)
     got = F.coalesce("own", F.when(F.col("last")["carries"], F.col("last")), none)
-    return rows.withColumn("unit", got).drop("own", "last").select("*", "unit.line_type", "unit.level_1", "unit.level_2", "unit.can_be_multiline").drop("unit")
+    return rows.withColumn("unit", got).withColumn("is_own", F.col("own").isNotNull()).drop("own", "last").select("*", "unit.line_type", "unit.level_1", "unit.level_2", "unit.can_be_multiline").drop("unit")
 
 
 def law_units(lines: DataFrame, depth: int = 2) -> DataFrame:

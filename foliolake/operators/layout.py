@@ -47,9 +47,11 @@ def merge_pages(tables: DataFrame, tolerance: float = 0.03) -> DataFrame:
 
 
 def ocr_lines(words: DataFrame, threshold: float = 40) -> DataFrame:
-    """Lines of words that were read with enough confidence."""
+    """Lines of words that were read with enough confidence, by page, block, paragraph and
+    line, as far as the words have these."""
     parts = F.array_sort(F.collect_list(F.struct("word_num", "text")))
-    return words.where(F.col("conf") >= threshold).groupBy("page_num", "line_num").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_words"))
+    keys = [c for c in ("page_num", "block_num", "par_num", "line_num") if c in words.columns]
+    return words.where(F.col("conf") >= threshold).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_words"))
 
 
 def link_objects(objects: DataFrame, lines: DataFrame, near: int = 5) -> DataFrame:
@@ -111,3 +113,11 @@ def merge_first_page(first: DataFrame, rest: DataFrame) -> DataFrame:
     """Lines of page 0 read one way, of all others read another way, numbered anew."""
     both = first.where("page_id = 0").unionByName(rest.where("page_id > 0"))
     return both.withColumn("line_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id", "line_id")) - 1).cast("long"))
+
+
+def flatten_pages(parts: list[DataFrame], order: str = "line_id") -> DataFrame:
+    """Pages that were read apart as one document, lines numbered in the order of pages."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.withColumn("line_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id", order)) - 1).cast("long"))

@@ -40,10 +40,23 @@ def json_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node", F.to_json(F.struct("node_id", "text", meta.alias("metadata"))).alias("json"))
 
 
+def label_columns() -> list[Column]:
+    """Columns of lines (text, page_id, line_id, uid) with the names of labelling tasks."""
+    return [F.col("text").alias("_line"), F.struct("page_id", "line_id").alias("_metadata"), F.col("uid").alias("_uid")]
+
+
 def write_labels(lines: DataFrame, folder: str) -> None:
-    """Lines as JSON lines with the names of labelling tasks, appended."""
-    out = lines.select(F.col("text").alias("_line"), F.struct("page_id", "line_id").alias("_metadata"), F.col("uid").alias("_uid"))
-    out.write.mode("append").json(folder)
+    """Lines as JSON lines, appended."""
+    lines.select(*label_columns()).write.mode("append").json(folder)
+
+
+def html_tables(cells: DataFrame) -> DataFrame:
+    """table_id, html: cells (row_id, col_id, text, colspan, rowspan, invisible) as a table;
+    invisible places of spans are left out."""
+    cell = F.concat(F.lit('<td colspan="'), F.col("colspan").cast("string"), F.lit('" rowspan="'), F.col("rowspan").cast("string"), F.lit('">'), escaped(F.col("text")), F.lit("</td>"))
+    seen = cells.where("NOT invisible").groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("col_id", cell.alias("html")))).alias("cells"))
+    rows = seen.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_id", F.array_join(F.transform("cells", lambda x: x["html"]), "").alias("html")))).alias("rows"))
+    return rows.select("table_id", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda x: F.concat(F.lit("<tr>"), x["html"], F.lit("</tr>"))), ""), F.lit("</table>")).alias("html"))
 
 
 def collapsed_pages(nodes: DataFrame, width: int = 60) -> DataFrame:

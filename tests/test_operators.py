@@ -4,7 +4,7 @@ import zipfile
 import duckdb
 import pytest
 
-from foliolake import catalog, catalog_documents, catalog_lines  # noqa: F401
+from foliolake import catalog, catalog_documents, catalog_lines, catalog_relational, catalog_tree  # noqa: F401
 from foliolake.functions import text as T
 from foliolake.operators import evaluation, patterns, tree
 from foliolake.sources import readers
