@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import annotations, evaluation, features, layout, lines, patterns, tree
+from .operators import annotations, evaluation, features, layout, lines, patterns, relational, tree
 from .plans import structured
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .session import table
@@ -191,9 +191,10 @@ def line_context(spark, d):
       round(coalesce((n - length(regexp_replace(text, '[0-9]', '', 'g')))::DOUBLE / nullif(n, 0), 0), 6) AS digit_share, round(coalesce((n - length(regexp_replace(text, '[{}\[\]()]', '', 'g')))::DOUBLE / nullif(n, 0), 0), 6) AS bracket_share,
       round(coalesce((n - length(regexp_replace(text, '[ \n]', '', 'g')))::DOUBLE / nullif(n, 0), 0), 6) AS blank_share, round(coalesce((n - length(regexp_replace(text, '[!-/:-@]', '', 'g')))::DOUBLE / nullif(n, 0), 0), 6) AS sign_share,
       len(w)::BIGINT AS n_words, round(list_avg(list_transform(w, lambda x: length(x))), 6) AS mean_word, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS longest_word,
-      round(list_avg(list_transform(string_split(text, ''), lambda c: unicode(c))), 6) AS mean_code FROM q""")
+      round(list_median(list_transform(w, lambda x: length(x))), 6) AS median_word, round(list_avg(c), 6) AS mean_code, round(list_stddev_pop(c), 6) AS std_code, round(list_median(c), 6) AS median_code,
+      len(list_filter(c, lambda x: x = 33 OR x BETWEEN 35 AND 38 OR x = 42 OR x = 60 OR x = 62 OR x BETWEEN 123 AND 126))::BIGINT AS n_trash FROM (SELECT *, list_transform(string_split(text, ''), lambda c: unicode(c)) AS c FROM q)""")
 def text_quality(spark, d):
-    return docs(spark, d).select("doc_id", *features.text_quality())
+    return features.text_quality(docs(spark, d))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[a-z]+[A-Z]'))::BIGINT AS case_changes, len(regexp_extract_all(text, '[A-Za-z]+[0-9]'))::BIGINT AS digit_changes, len(regexp_extract_all(text, '[A-Za-z]+[!-/:-@]'))::BIGINT AS sign_changes FROM documents""")
@@ -217,14 +218,6 @@ def toc_lines(spark, d):
 PAGE_LINES = "P AS (SELECT page_id, unnest(string_split(html, '><')) AS text, unnest(range(0, len(string_split(html, '><')))) AS line_id FROM pages)"
 
 
-@query(f"""WITH {PAGE_LINES}, Q AS (SELECT page_id, regexp_replace(text, '[0-9]', '@', 'g') AS pattern, row_number() OVER (PARTITION BY page_id ORDER BY line_id) AS a, row_number() OVER (PARTITION BY page_id ORDER BY line_id DESC) AS b FROM P),
-    R AS (SELECT pattern, 'h' || a AS slot FROM Q WHERE a <= 4 UNION ALL SELECT pattern, 'f' || b FROM Q WHERE b <= 4)
-    SELECT slot, pattern, count(*) AS n_pages FROM R GROUP BY ALL HAVING count(*) > 0.4 * (SELECT count(DISTINCT page_id) FROM P)""")
-def header_footer_popular(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "><")).alias("line_id", "text"))
-    return layout.popular_ends(rows)
-
-
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS linked FROM events""")
 def asof_link(spark, d):
     return layout.as_of(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type = 'view'", "event_id").select("event_id", "user_id", "linked")
@@ -319,9 +312,9 @@ def toc_align(spark, d):
 @query(S + """ SELECT a.doc_id, a.line_id, min(b.line_id) AS label_line FROM L a LEFT JOIN L b ON a.doc_id = b.doc_id AND abs(a.line_id - b.line_id) <= 50 AND b.line_id <> a.line_id AND levenshtein(a.text, b.text) <= 1 GROUP BY ALL""")
 def range_label_join(spark, d):
     rows = structured.lines(spark, d).select("doc_id", "line_id", "text")
-    other = rows.select(F.col("doc_id").alias("b_doc"), F.col("line_id").alias("b_line"), F.col("text").alias("b_text"))
-    near = (F.col("doc_id") == F.col("b_doc")) & F.col("b_line").between(F.col("line_id") - 50, F.col("line_id") + 50) & (F.col("b_line") != F.col("line_id")) & (F.levenshtein("text", "b_text") <= 1)
-    return rows.join(other, near, "left").groupBy("doc_id", "line_id").agg(F.min("b_line").alias("label_line"))
+    near = relational.near_join(rows, rows, ["doc_id"], "line_id", 50).where("r_line_id <> line_id").where(F.levenshtein("text", "r_text", 1) >= 0)
+    found = near.groupBy("doc_id", "line_id").agg(F.min("r_line_id").alias("label_line"))
+    return rows.select("doc_id", "line_id").join(found, ["doc_id", "line_id"], "left")
 
 
 @query("SELECT doc_id, line_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_chars DESC, line_id) AS r FROM (WITH " + DOC_LINES + " SELECT doc_id, line_id, length(text) AS n_chars FROM D)) WHERE r <= 3")

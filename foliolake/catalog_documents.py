@@ -171,16 +171,51 @@ def merge_first_page(spark, d):
     return layout.merge_first_page(rows.where("label <> 'cellar'").select(*cols), rows.select(*cols))
 
 
-PAGE_SLOTS = f"""WITH {catalog.PAGE_LINES}, A AS (SELECT page_id, regexp_replace(regexp_replace(text, '[^ -~]', '~', 'g'), '[0-9]', '@', 'g') AS pattern, row_number() OVER (PARTITION BY page_id ORDER BY line_id) AS a, row_number() OVER (PARTITION BY page_id ORDER BY line_id DESC) AS b FROM P),
-    R AS (SELECT page_id, pattern, 'h' || a AS slot FROM A WHERE a <= 4 UNION ALL SELECT page_id, pattern, 'f' || b FROM A WHERE b <= 4)"""
+#: Tags of pages as lines; eight pages are a document of more than 6 pages, its last ones one of fewer.
+PAGE_SLOTS = """WITH P AS (SELECT page_id // 8 * 2 + (page_id % 8 > 6)::INT AS doc_id, page_id % 8 AS page_id, regexp_replace(t, '[^ -~]', '~', 'g') AS text, i AS line_id FROM (SELECT page_id, unnest(string_split(html, '><')) AS t, unnest(range(0, len(string_split(html, '><')))) AS i FROM pages)),
+    A AS (SELECT doc_id, page_id, line_id, regexp_replace(text, '[0-9]', '@', 'g') AS pattern, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY line_id) AS a, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY line_id DESC) AS b, count(*) OVER (PARTITION BY doc_id, page_id) AS n FROM P),
+    R AS (SELECT doc_id, page_id, line_id, pattern, 'h' || a AS slot, a AS k FROM A WHERE a <= 4 AND n >= 8 UNION ALL SELECT doc_id, page_id, line_id, pattern, 'f' || b, b FROM A WHERE b <= 4 AND n >= 8),
+    E AS (SELECT doc_id, CASE WHEN count(DISTINCT page_id) > 6 THEN 2 ELSE 1 END AS step, CASE WHEN count(DISTINCT page_id) > 6 THEN 0.4 ELSE 0.7 END AS share FROM P GROUP BY 1),
+    S AS (SELECT r.doc_id, r.slot, round(avg([1.0, 1.0, 0.85, 0.75][r.k]::DOUBLE * (1 - levenshtein(r.pattern, n.pattern)::DOUBLE / greatest(length(r.pattern), length(n.pattern), 1))), 6) AS score, count(*) AS n_pairs FROM R r JOIN E e USING (doc_id) JOIN R n ON n.doc_id = r.doc_id AND n.slot = r.slot AND n.page_id = r.page_id + e.step GROUP BY ALL),
+    O AS (SELECT doc_id, slot, pattern, count(*) AS n_pages, sum(count(*)) OVER (PARTITION BY doc_id, slot) AS total FROM R JOIN S USING (doc_id, slot) WHERE score > 0.5 GROUP BY doc_id, slot, pattern), F AS (SELECT * FROM O JOIN E USING (doc_id) WHERE n_pages > share * total)"""
 
 
-@query(PAGE_SLOTS + """, S AS (SELECT r.slot, avg(1 - levenshtein(r.pattern, n.pattern)::DOUBLE / greatest(length(r.pattern), length(n.pattern), 1)) AS score, count(*) AS n_pairs FROM R r JOIN R n ON n.slot = r.slot AND n.page_id = r.page_id + 1 GROUP BY r.slot)
-    SELECT slot, round(score, 6) AS score, n_pairs FROM S WHERE round(score, 6) > 0.5""")
-def repeated_ends(spark, d):
+def page_lines(spark, d):
     plain = F.regexp_replace("html", "[^ -~]", "~")  # SQL's distance counts bytes
-    rows = table(spark, d, "pages").select("page_id", F.posexplode(F.split(plain, "><")).alias("line_id", "text"))
-    return layout.repeated_ends(rows)
+    k = F.col("page_id")
+    return table(spark, d, "pages").select((F.floor(k / 8) * 2 + (k % 8 > 6).cast("int")).alias("doc_id"), (k % 8).alias("page_id"), F.posexplode(F.split(plain, "><")).alias("line_id", "text"))
+
+
+@query(PAGE_SLOTS + " SELECT * FROM S WHERE score > 0.5")
+def repeated_ends(spark, d):
+    return layout.repeated_ends(page_lines(spark, d))
+
+
+@query(PAGE_SLOTS + " SELECT doc_id, slot, pattern, n_pages FROM F")
+def header_footer_popular(spark, d):
+    return layout.popular_ends(page_lines(spark, d))
+
+
+@query(PAGE_SLOTS + " SELECT P.doc_id, P.page_id, P.line_id FROM P WHERE NOT EXISTS (SELECT 1 FROM R JOIN F USING (doc_id, slot, pattern) WHERE R.doc_id = P.doc_id AND R.page_id = P.page_id AND R.line_id = P.line_id)")
+def header_footer_removed(spark, d):
+    return layout.without_ends(page_lines(spark, d)).select("doc_id", "page_id", F.col("line_id").cast("long").alias("line_id"))
+
+
+@query("""WITH C AS (SELECT o_custkey AS doc_id, (o_orderkey % 5)::BIGINT AS page_id, (o_orderkey // 5)::BIGINT AS row_id, o_orderpriority AS text, o_orderkey % 10 < 2 AS head FROM orders), W AS (SELECT doc_id, page_id, 200.0 + (doc_id * page_id % 4) * 3 AS width, [100.0 + doc_id * page_id % 3 * 6, 100.0] AS widths FROM C GROUP BY ALL),
+    N AS (SELECT *, CASE WHEN page_id = lag(page_id) OVER w + 1 AND abs(width - lag(width) OVER w) <= 0.03 * lag(width) OVER w AND abs(widths[1] - lag(widths[1]) OVER w) <= greatest(4, 0.1 * lag(widths[1]) OVER w) THEN 0 ELSE 1 END AS new FROM W WINDOW w AS (PARTITION BY doc_id ORDER BY page_id)),
+    H AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page_id)::BIGINT AS chain FROM N), T AS (SELECT doc_id, page_id, row_id, bool_and(head) AS head, string_agg(text, chr(9) ORDER BY text) AS text FROM C GROUP BY ALL),
+    J AS (SELECT T.*, chain, first_value(page_id) OVER (PARTITION BY doc_id, chain, text, head ORDER BY page_id, row_id) AS first FROM T JOIN H USING (doc_id, page_id))
+    SELECT doc_id, chain, page_id, row_number() OVER (PARTITION BY doc_id, chain ORDER BY page_id, row_id) - 1 AS row_id, text FROM J WHERE NOT head OR page_id = first""")
+def table_rows_merged(spark, d):
+    k = F.col
+    cells = table(spark, d, "orders").select(k("o_custkey").alias("doc_id"), (k("o_orderkey") % 5).alias("page_id"), F.floor(k("o_orderkey") / 5).alias("row_id"), k("o_orderpriority").alias("col_id"), k("o_orderpriority").alias("text"), (k("o_orderkey") % 10 < 2).alias("is_header"))
+    pages = cells.select("doc_id", "page_id").distinct().select("*", (200.0 + k("doc_id") * k("page_id") % 4 * 3).alias("width"), F.array(100.0 + k("doc_id") * k("page_id") % 3 * 6, F.lit(100.0)).alias("widths"))
+    return layout.merge_tables(cells, pages)
+
+
+@query(LINKS.replace("SELECT doc_id, object_id, line_id FROM R WHERE r = 1", "SELECT R.doc_id, R.line_id, 'table' AS name, 'table_' || object_id AS value, 0::BIGINT AS start, length(text) AS \"end\" FROM R JOIN Q ON Q.doc_id = R.doc_id AND Q.line_id = R.line_id WHERE r = 1"))
+def table_annotations(spark, d):
+    return layout.table_notes(link_objects(spark, d), law.lines(spark, d))
 
 
 # --- labelling and output ----------------------------------------------------------------------------

@@ -16,15 +16,6 @@ def uid(*parts: Column) -> Column:
     return F.md5(F.concat_ws("_", *[p.cast("string") for p in parts]).cast("binary"))
 
 
-def count_of(c: Column, klass: str) -> Column:
-    """How many characters of a class (inside of []) a text has."""
-    return (F.length(c) - F.length(F.regexp_replace(c, f"[{klass}]", ""))).cast("long")
-
-
-def share(part: Column, whole: Column) -> Column:
-    return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), 6)
-
-
 def stem_and_extension(name: Column) -> tuple[Column, Column]:
     """File name split; double extensions of compressed files stay together."""
     ext = F.regexp_extract(name, r"(?i)((\.(txt|tar|mht|mhtml)\.gz)|(\.note\.pickle)|(\.[^./]+))$", 1)

@@ -26,13 +26,15 @@ def keep_first(rows: DataFrame, keys: list[str], start: str = "start", end: str
     return folded.select(*keys, F.col("x.s").alias(start), F.col("x.e").alias(end))
 
 
-def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a that no span of b overlaps; spans are (start, end) on both sides."""
-    right = b.select(*[F.col(k).alias("r_" + k) for k in keys], F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    cond = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col("r_" + k))
-    return a.join(right, cond, "left_anti")
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], cell: int = 64) -> DataFrame:
+    """Rows of a that no span of b overlaps; spans are (start, end) on both sides. Spans are
+    dealt to the pieces of `cell` characters that they touch, so the join is on equal keys
+    and a document with many spans isn't compared all with all."""
+    pieces = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.greatest(F.col(hi), F.col(lo) + 1) - 1) / cell)))
+    left = a.select(*keys, "start", "end").distinct().withColumn("__piece", pieces("start", "end"))
+    right = b.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end")).withColumn("__piece", pieces("r_start", "r_end"))
+    hit = left.join(right, [*keys, "__piece"]).where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))).select(*keys, "start", "end").distinct()
+    return a.join(hit, [*keys, "start", "end"], "left_anti")
 
 
 def blanks(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,21 +7,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Weights of the first and last lines of a page, from its edges inwards.
+WEIGHTS = (1.0, 1.0, 0.85, 0.75)
+
+
 def page_ends(lines: DataFrame, ends: int = 4) -> DataFrame:
-    """The first and last lines of every page as slots (h1.., f1..), digits made equal."""
-    up, down = (Window.partitionBy("page_id").orderBy(o) for o in (F.asc("line_id"), F.desc("line_id")))
-    pattern = F.regexp_replace("text", "[0-9]", "@")
-    both = lines.select("page_id", pattern.alias("pattern"), F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b"))
-    slots = F.array(F.when(F.col("a") <= ends, F.concat(F.lit("h"), "a")), F.when(F.col("b") <= ends, F.concat(F.lit("f"), "b")))
-    return both.select("page_id", "pattern", F.explode(F.filter(slots, lambda x: x.isNotNull())).alias("slot"))
+    """The first and last lines of every page (doc_id, page_id) as slots (h1.., f1..), blank
+    lines at the ends left out, digits made equal. Pages with fewer lines than slots have none."""
+    page = Window.partitionBy("doc_id", "page_id")
+    some = F.when(F.trim("text") != "", F.col("line_id"))
+    rows = lines.withColumns({"__a": F.min(some).over(page), "__b": F.max(some).over(page)}).where(F.col("line_id").between(F.col("__a"), F.col("__b")))
+    up, down = (page.orderBy(o) for o in (F.asc("line_id"), F.desc("line_id")))
+    both = rows.select("doc_id", "page_id", "line_id", F.regexp_replace("text", "[0-9]", "@").alias("pattern"), F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b"), F.count("*").over(page).alias("n")).where(F.col("n") >= 2 * ends)
+    slots = F.array(F.when(F.col("a") <= ends, F.struct(F.concat(F.lit("h"), "a").alias("slot"), F.col("a").alias("k"))), F.when(F.col("b") <= ends, F.struct(F.concat(F.lit("f"), "b").alias("slot"), F.col("b").alias("k"))))
+    return both.select("doc_id", "page_id", "line_id", "pattern", F.explode(F.filter(slots, lambda x: x.isNotNull())).alias("x")).select("doc_id", "page_id", "line_id", "pattern", "x.slot", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("x.k").cast("int")).alias("weight"))
+
+
+def page_steps(lines: DataFrame) -> DataFrame:
+    """doc_id, step, share: documents of more than 6 pages are compared two pages apart, and
+    a pattern on 4 of 10 pages is frequent there, else on 7 of 10."""
+    pages = lines.groupBy("doc_id").agg(F.countDistinct("page_id").alias("pages"))
+    return pages.select("doc_id", F.when(F.col("pages") > 6, 2).otherwise(1).alias("step"), F.when(F.col("pages") > 6, 0.4).otherwise(0.7).alias("share"))
+
+
+def repeated_ends(lines: DataFrame, least: float = 0.5, ends: int = 4) -> DataFrame:
+    """doc_id, slot, score: how alike a document's slots are on pages a step apart, on average
+    and by weight; slots above `least` hold headers or footers. One join on equal keys."""
+    slots = page_ends(lines, ends).join(page_steps(lines), "doc_id")
+    later = slots.select("doc_id", (F.col("page_id") - F.col("step")).alias("page_id"), "slot", F.col("pattern").alias("next"))
+    alike = F.col("weight") * (1 - F.levenshtein("pattern", "next") / F.greatest(F.length("pattern"), F.length("next"), F.lit(1)))
+    return slots.join(later, ["doc_id", "page_id", "slot"]).groupBy("doc_id", "slot").agg(F.round(F.avg(alike), 6).alias("score"), F.count("*").alias("n_pairs")).where(F.col("score") > least)
+
 
+def popular_ends(lines: DataFrame, ends: int = 4) -> DataFrame:
+    """doc_id, slot, pattern, n_pages: patterns that are frequent in the slots of headers and
+    footers of their document."""
+    slots = page_ends(lines, ends).join(repeated_ends(lines, ends=ends).select("doc_id", "slot"), ["doc_id", "slot"])
+    total = slots.groupBy("doc_id", "slot").agg(F.count("*").alias("all"))
+    counted = slots.groupBy("doc_id", "slot", "pattern").agg(F.count("*").alias("n_pages"))
+    return counted.join(total, ["doc_id", "slot"]).join(page_steps(lines), "doc_id").where(F.col("n_pages") > F.col("share") * F.col("all")).select("doc_id", "slot", "pattern", "n_pages")
 
-def popular_ends(lines: DataFrame, share: float = 0.4, ends: int = 4) -> DataFrame:
-    """Patterns that a slot has on more than a share of all pages."""
-    slots = page_ends(lines, ends)
-    pages = lines.agg(F.countDistinct("page_id").alias("pages"))
-    counted = slots.groupBy("slot", "pattern").agg(F.count("*").alias("n_pages"))
-    return counted.join(F.broadcast(pages)).where(F.col("n_pages") > share * F.col("pages")).select("slot", "pattern", "n_pages")
+
+def without_ends(lines: DataFrame, ends: int = 4) -> DataFrame:
+    """Lines that are no header or footer: an anti-join with the slots of frequent patterns."""
+    gone = page_ends(lines, ends).join(popular_ends(lines, ends).select("doc_id", "slot", "pattern"), ["doc_id", "slot", "pattern"], "left_semi")
+    return lines.join(gone.select("doc_id", "page_id", "line_id").distinct(), ["doc_id", "page_id", "line_id"], "left_anti")
 
 
 def as_of(rows: DataFrame, key: str, order: list[str], mark: str, value: str) -> DataFrame:
@@ -100,15 +130,6 @@ def page_slice(lines: DataFrame, pages: str) -> DataFrame:
     return kept if last is None else kept.where(F.col("page_id") < last)
 
 
-def repeated_ends(lines: DataFrame, step: int = 1, ends: int = 4, share: float = 0.5) -> DataFrame:
-    """slot, score: how alike the slots of a page and a later page are, on average; slots above the
-    share are headers and footers. One join on equal keys."""
-    slots = page_ends(lines, ends)
-    later = slots.select((F.col("page_id") - step).alias("page_id"), "slot", F.col("pattern").alias("next"))
-    alike = 1 - F.levenshtein("pattern", "next") / F.greatest(F.length("pattern"), F.length("next"), F.lit(1))
-    return slots.join(later, ["page_id", "slot"]).groupBy("slot").agg(F.round(F.avg(alike), 6).alias("score"), F.count("*").alias("n_pairs")).where(F.col("score") > share)
-
-
 def merge_first_page(first: DataFrame, rest: DataFrame) -> DataFrame:
     """Lines of page 0 read one way, of all others read another way, numbered anew."""
     both = first.where("page_id = 0").unionByName(rest.where("page_id > 0"))
@@ -121,3 +142,27 @@ def flatten_pages(parts: list[DataFrame], order: str = "line_id") -> DataFrame:
     for p in parts[1:]:
         both = both.unionByName(p)
     return both.withColumn("line_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id", order)) - 1).cast("long"))
+
+
+def merge_tables(cells: DataFrame, pages: DataFrame, width_share: float = 0.03, column_share: float = 0.1, least: float = 4) -> DataFrame:
+    """doc_id, chain, page_id, row_id: rows of tables that go on over pages. A page's table
+    (doc_id, page_id, width, widths: its columns' widths) goes on with that of the page
+    before if both are as wide, to a share, with as many columns, each as wide to a tenth
+    or 4; a header that comes again is left out. cells: doc_id, page_id, row_id, col_id,
+    text, is_header."""
+    w = Window.partitionBy("doc_id").orderBy("page_id")
+    last = lambda c: F.lag(c).over(w)
+    columns = F.forall(F.arrays_zip(F.col("widths").alias("a"), last("widths").alias("b")), lambda x: F.abs(x["a"] - x["b"]) <= F.greatest(F.lit(least), F.lit(column_share) * x["b"]))
+    fits = (F.col("page_id") == last("page_id") + 1) & (F.size("widths") == F.size(last("widths"))) & (F.abs(F.col("width") - last("width")) <= width_share * last("width")) & columns
+    chain = pages.withColumn("chain", F.sum(F.when(F.coalesce(fits, F.lit(False)), 0).otherwise(1)).over(w))
+    rows = cells.groupBy("doc_id", "page_id", "row_id").agg(F.min(F.col("is_header").cast("int")).alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_id", "text"))), lambda x: x["text"]), "\t").alias("text"))
+    placed = rows.join(chain.select("doc_id", "page_id", "chain"), ["doc_id", "page_id"])
+    of = Window.partitionBy("doc_id", "chain", "text", "head").orderBy("page_id", "row_id")
+    kept = placed.withColumn("first", F.first("page_id").over(of)).where((F.col("head") == 0) | (F.col("page_id") == F.col("first")))
+    number = F.row_number().over(Window.partitionBy("doc_id", "chain").orderBy("page_id", "row_id")) - 1
+    return kept.select("doc_id", F.col("chain").cast("long").alias("chain"), "page_id", number.cast("long").alias("row_id"), "text")
+
+
+def table_notes(links: DataFrame, lines: DataFrame) -> DataFrame:
+    """Annotations of lines that tables belong to: links are (doc_id, object_id, line_id)."""
+    return links.join(lines.select("doc_id", "line_id", "text"), ["doc_id", "line_id"]).select("doc_id", "line_id", F.lit("table").alias("name"), F.concat(F.lit("table_"), F.col("object_id").cast("string")).alias("value"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))

@@ -109,12 +109,13 @@ def assign_levels(lines: DataFrame, patterns: tuple[Pattern, ...] = DEFAULT) ->
     for name, kind in (("tag_type", "string"), ("tag_level_1", "double"), ("tag_level_2", "double")):
         if name not in lines.columns:
             lines = lines.withColumn(name, F.lit(None).cast(kind))
-    low = F.lower(strip(F.col("text")))
-    case = None
+    columns = lines.columns
+    lines = lines.withColumn("__low", F.lower(strip(F.col("text"))))  # once, not in every branch
+    low, case = F.col("__low"), None
     for p in patterns:
         case = F.when(p.matches(low), p.result(low)) if case is None else case.when(p.matches(low), p.result(low))
     none = F.struct(F.lit("raw_text").alias("line_type"), F.lit(None).cast("double").alias("level_1"), F.lit(None).cast("double").alias("level_2"), F.lit(True).alias("can_be_multiline"))
-    return lines.withColumn("hl", case.otherwise(none)).select(*lines.columns, "hl.*")
+    return lines.withColumn("hl", case.otherwise(none)).select(*columns, "hl.*")
 
 
 def same_kind_next(kind: Column, a: Column, b: Column) -> Column:

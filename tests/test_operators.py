@@ -4,7 +4,7 @@ import zipfile
 import duckdb
 import pytest
 
-from foliolake import catalog, catalog_documents, catalog_lines, catalog_relational, catalog_tree  # noqa: F401
+from foliolake import catalog, catalog_documents, catalog_lines, catalog_readers, catalog_relational, catalog_tree  # noqa: F401
 from foliolake.functions import text as T
 from foliolake.operators import evaluation, patterns, tree
 from foliolake.sources import readers
@@ -127,3 +127,190 @@ def test_nearest_lines_against_brute_force(spark):
             r, d, n = max((evaluation.similarity(item, t), -d, -n) for d, n, t in lines if t is not None)
             want.append((i, r, -d, -n))
     assert sorted(tuple(r) for r in got) == want
+
+
+W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def docx_file(body, styles="", numbering="", notes="", core=""):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W_NS}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {W_NS}>{styles}</w:styles>")
+        z.writestr("word/numbering.xml", f"<w:numbering {W_NS}>{numbering}</w:numbering>")
+        z.writestr("word/footnotes.xml", f"<w:footnotes {W_NS}>{notes}</w:footnotes>")
+        z.writestr("word/media/image1.png", b"picture")
+        if core:
+            z.writestr("docProps/core.xml", core)
+    return out.getvalue()
+
+
+def test_docx():
+    from foliolake.sources import docx
+
+    style = lambda i, name, inner="", base="": f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{name}"/>{f"<w:basedOn w:val=@{base}@/>".replace("@", chr(34)) if base else ""}{inner}</w:style>'
+    styles = '<w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="20"/></w:rPr></w:rPrDefault></w:docDefaults>' + style("a", "Base", '<w:rPr><w:b/><w:sz w:val="28"/></w:rPr><w:pPr><w:spacing w:after="120"/></w:pPr>') + style("b", "heading 2", "<w:rPr><w:i/></w:rPr>", "a") + style("t", "Title")
+    level = lambda i, fmt, text: f'<w:lvl w:ilvl="{i}"><w:start w:val="1"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{text}"/><w:suff w:val="space"/></w:lvl>'
+    numbering = f'<w:abstractNum w:abstractNumId="0">{level(0, "decimal", "%1.")}{level(1, "lowerRoman", "%1.%2)")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride></w:num>'
+    p = lambda text, ppr="", rpr="", more="": f"<w:p><w:pPr>{ppr}</w:pPr><w:r><w:rPr>{rpr}</w:rPr><w:t>{text}</w:t></w:r>{more}</w:p>"
+    item = lambda text, n, i: p(text, f'<w:numPr><w:ilvl w:val="{i}"/><w:numId w:val="{n}"/></w:numPr>')
+    body = p("Name", '<w:pStyle w:val="t"/>') + p("Head", '<w:pStyle w:val="b"/>') + item("one", 1, 0) + item("two", 1, 0) + item("in", 1, 1) + item("in", 1, 1) + item("three", 1, 0) + item("sub", 1, 1) + item("five", 2, 0) + item("six", 2, 0)
+    body += p("plain ", '<w:ind w:left="720" w:hanging="20"/><w:spacing w:before="40"/><w:jc w:val="center"/>', '<w:u w:val="single"/>', '<w:r><w:rPr><w:u w:val="single"/></w:rPr><w:t>more</w:t></w:r><w:r><w:footnoteReference w:id="3"/></w:r>') + p("Таблица 1")
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    body += f'<w:tbl><w:tr>{cell("a", "<w:gridSpan w:val=@2@/>".replace("@", chr(34)))}{cell("b", "<w:vMerge w:val=@restart@/>".replace("@", chr(34)))}</w:tr><w:tr>{cell("c")}{cell("d")}{cell("", "<w:vMerge/>")}</w:tr></w:tbl>'
+    core = '<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:title>T</dc:title><dc:creator>N. N.</dc:creator></cp:coreProperties>'
+    content = docx_file(body, styles, numbering, '<w:footnote w:id="3"><w:p><w:r><w:t>a note</w:t></w:r></w:p></w:footnote>', core)
+    d = docx.Document(content)
+    assert [x[0] for x in d.lines] == ["Name", "Head", "1. one", "2. two", "2.i) in", "2.ii) in", "3. three", "3.i) sub", "5. five", "6. six", "plain more", "Таблица 1"]
+    assert [x[1:4] for x in d.lines[:3]] == [("header", 1.0, 1.0), ("header", 1.0, 3.0), ("list_item", 2.0, 1.0)] and d.lines[4][3] == 2.0
+    notes = {a["name"]: (a["start"], a["end"], a["value"]) for a in d.lines[1][5]}
+    assert notes["bold"] == notes["italic"] == (0, 4, "True") and notes["size"] == (0, 4, "14")
+    notes = {a["name"]: (a["start"], a["end"], a["value"]) for a in d.lines[10][5]}
+    assert notes["underlined"] == (0, 10, "True") and notes["indentation"][2] == "700" and notes["alignment"][2] == "center" and notes["linked_text"] == (0, 10, "a note") and notes["size"][2] == "10" and notes["table"][2] == "table_0"
+    assert d.lines[2][5][-2]["value"] == "0" and [a["value"] for a in d.lines[2][5] if a["name"] == "spacing"] == ["120"]
+    assert d.tables == [[(0, 0, "a", 2, 1, False), (0, 1, "a", 1, 1, True), (0, 2, "b", 1, 2, False), (1, 0, "c", 1, 1, False), (1, 1, "d", 1, 1, False), (1, 2, "b", 1, 1, True)]]
+    assert docx.core_properties(content) == {"title": "T", "creator": "N. N."}
+    assert [docx.number_text("lowerLetter", n) for n in (1, 26, 27)] == ["a", "z", "aa"] and docx.number_text("upperRoman", 1994) == "MCMXCIV" and docx.number_text("russianLower", 2) == "б" and docx.number_text("none", 2) == ""
+
+
+def pptx_file():
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    par = lambda text, props="": f"<a:p>{props}<a:r><a:rPr b='1' sz='1800'/><a:t>{text}</a:t></a:r></a:p>"
+    sp = lambda inner: f"<p:sp><p:txBody>{inner}</p:txBody></p:sp>"
+    auto = '<a:pPr><a:buAutoNum type="arabicPeriod"/></a:pPr>'
+    table = "<p:graphicFrame><a:tbl><a:tr><a:tc gridSpan='2'><a:txBody>" + par("x") + "</a:txBody></a:tc><a:tc hMerge='1'><a:txBody><a:p/></a:txBody></a:tc></a:tr></a:tbl></p:graphicFrame>"
+    picture = '<p:pic><p:blipFill><a:blip r:embed="rId2"/></p:blipFill></p:pic>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n in (10, 2):
+            z.writestr(f"ppt/slides/slide{n}.xml", f"<p:sld {ns}><p:cSld><p:spTree>{sp(par(f'Slide {n}'))}{sp(par('one', auto) + par('two', auto) + par('dot', '<a:pPr lvl=@1@><a:buChar char=@-@/></a:pPr>'.replace('@', chr(34))))}{table}{picture}</p:spTree></p:cSld></p:sld>")
+            z.writestr(f"ppt/slides/_rels/slide{n}.xml.rels", '<Relationships><Relationship Id="rId2" Target="../media/i.png"/></Relationships>')
+        z.writestr("ppt/media/i.png", b"p")
+    return out.getvalue()
+
+
+def test_pptx():
+    from foliolake.sources import pptx
+
+    s = pptx.Slides(pptx_file())
+    assert [(x[0], x[1], x[2], x[3]) for x in s.lines[:4]] == [("Slide 2", "header", 1.0, 1.0), ("1. one", "list_item", 2.0, 1.0), ("2. two", "list_item", 2.0, 1.0), ("- dot", "list_item", 3.0, 2.0)] and s.lines[4][0] == "Slide 10"
+    assert {(a["name"], a["value"], a["start"]) for a in s.lines[3][5]} == {("bold", "True", 2), ("size", "18", 2), ("table", "table_0", 0), ("attachment", "i.png", 0)}
+    assert s.tables[0] == [(0, 0, "x", 2, 1, False), (0, 1, "", 1, 1, True)]
+
+
+def test_xlsx_and_text():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>word</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="2"><c r="A2"><v>1</v></c><c r="AB2" t="s"><v>0</v></c><c r="C2" t="b"><v>1</v></c></row></sheetData></worksheet>')
+    assert readers.xlsx_cells("a.xlsx", out.getvalue()) == [(0, 1, 0, "1.0"), (0, 1, 27, "word"), (0, 1, 2, "True")]
+    import gzip
+
+    lines = readers.txt_items("a.txt.gz", gzip.compress("a\x0cb c\r\n\r\n\r\n\tй\n".encode()))
+    assert [x[0] for x in lines] == ["a\x0cb c\n", "\tй\n"] and lines[1][4] is False and [a["value"] for a in lines[1][5]] == ["200", "633"]
+    assert readers.txt_items("a.txt", "да".encode("cp1251"), "cp1251")[0][0] == "да\n"
+    assert readers.without_fields({"a": {"b": "<p>", "c": 1}, "d": {"e": "<i>"}}, [["a", "b"], ["d", "e"]]) == ({"a": {"c": 1}}, {"a_b": "<p>", "d_e": "<i>"})
+
+
+MHTML = b'MIME-Version: 1.0\nContent-Type: multipart/related; boundary="B"\n\n--B\nContent-Type: text/html\nContent-Location: http://x/p.html\n\n<html><h1>T</h1><p>t</p></html>\n--B\nContent-Type: image/png\nContent-Location: http://x/i.png\nContent-Transfer-Encoding: base64\n\ncGlj\n--B--\n'
+EML = b'Subject: Hi\nFrom: a@b.c\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="B"\n\n--B\nContent-Type: text/plain\n\nbody\n--B\nContent-Type: application/json\nContent-Disposition: attachment; filename="x/d.json"\n\n{"h": "<p>q</p>"}\n--B--\n'
+
+
+def test_attachments_go_down_level_by_level(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("m.eml", EML)
+        z.writestr("bad.zip", b"no archive")
+        z.writestr("doc.docx", docx_file("<w:p/>"))
+    with zipfile.ZipFile(tmp_path / "o.zip", "w") as z:
+        z.writestr("i.zip", inner.getvalue())
+    (tmp_path / "p.mht").write_bytes(MHTML)
+    files = readers.binary_files(spark, str(tmp_path))
+    found = readers.read_attachments(files, 10, '[["h"]]').collect()
+    by_depth = {k: sorted(r.name or "" for r in found if r.depth == k and r.error is None) for k in range(1, 6)}
+    assert by_depth == {1: ["i.png", "i.zip"], 2: ["bad.zip", "doc.docx", "m.eml"], 3: ["d.json", "message_header.json", "word/media/image1.png"], 4: ["h.html"], 5: []}
+    assert [r.depth for r in found if r.error] == [3]  # the bad archive
+    assert {r.depth for r in readers.read_attachments(files, 1).collect()} == {1} and readers.read_attachments(files, 0).count() == 0
+    meta = {r.file_name: r for r in readers.file_metadata(files).collect()}
+    assert meta["p.mht"].kind == "mhtml" and meta["o.zip"].kind == "archive" and meta["p.mht"].size == len(MHTML) and meta["o.zip"].modified > 1e9
+    kinds = {r.path.rsplit("/", 1)[-1]: r.k for r in files.select("path", readers.kind_by_content(files.content).alias("k")).collect()}
+    assert kinds["o.zip"] == "archive"
+    assert [(r.text, r.tag_type) for r in readers.read_items(files.where("path like '%.mht'")).orderBy("line_id").collect()] == [("T", "header"), ("t", None)]
+    assert set(readers.for_file("a.docx")) == {"items", "cells", "members"} and set(readers.for_file("b.txt")) == {"items"}
+    made = spark.createDataFrame([("d.docx", docx_file("<w:p/>", core='<c xmlns:d="d"><d:title>T</d:title></c>'))], "path string, content binary")
+    assert [(r.key, r.value) for r in readers.read_properties(made).collect()] == [("title", "T")]
+
+
+def test_css_and_lists():
+    p = readers.read_page('<ol type="a"><li>x<li>y</ol><p style="font-family: Arial; display:none">h</p><span style="font-size:12px">s</span>')
+    assert [x[0] for x in p.lines] == ["a) x", "b) y", "h", "s"]
+    assert [(a["name"], a["value"]) for a in p.lines[2][4]] == [("style", "Arial"), ("style", "hidden")] and p.lines[3][4][0]["value"] == "16"
+    assert readers.read_page("<table><tr><td>a</table>", True).tables == [[(0, 0, "a", 1, 1, False)]]
+
+
+def test_options_and_plug_points(spark):
+    from foliolake import plugins
+    from foliolake.options import Options
+    from foliolake.plans import run
+
+    o = Options.of({"pages": "2:", "nothing": 1, "with_attachments": True, "need_content_analysis": "true"})
+    assert o.pages == "2:" and o.depth() == 10 and Options().depth() == 0 and len(Options.__dataclass_fields__) == 23
+    for bad in ({"structure_type": "x"}, {"return_base64": "maybe"}, {"pages": "x"}, {"recursion_deep_attachments": "many"}):
+        with pytest.raises(ValueError):
+            Options.of(bad)
+
+    @plugins.pattern("shout")
+    def shout(**given):
+        return patterns.Pattern("shout", "shout", regexp=r"^.*!$", level_1=1, level_2=1, **given)
+
+    @plugins.reader(".rev")
+    def reverse(name, content):
+        return [(content.decode()[::-1], None, None, None)]
+
+    rows = spark.createDataFrame([(1, 0, "Hey!"), (1, 1, "so")], "doc_id long, line_id long, text string")
+    got = run.parse(rows, Options.of({"patterns": "[{'name': 'shout', 'can_be_multiline': False}]"})).orderBy("node").collect()
+    assert [r.line_type for r in got] == ["root", "shout", "raw_text"]
+    made = spark.createDataFrame([("a.rev", b"olleh")], "path string, content binary")
+    assert [r.text for r in readers.read_items(made).collect()] == ["hello"]
+    del readers.ITEM_READERS[".rev"], patterns.MAKERS["shout"]
+    import json
+
+    one = json.loads(run.render(rows, Options.of({"return_format": "pretty_json"})).first().json)
+    assert [x["text"] for x in one["content"]["structure"]["subparagraphs"]] == ["Hey!so"]
+    assert "<details>" in run.render(rows, Options.of({"return_format": "collapsed_tree"})).first().html
+
+
+def test_teds():
+    assert evaluation.teds(("t", ("r", ("a",), ("b",))), ("t", ("r", ("a",), ("b",)))) == 1
+    assert evaluation.teds(("t", ("r", ("a",), ("b",))), ("t", ("r", ("a",)))) == pytest.approx(0.75)
+    assert evaluation.teds(("t", ("r", ("a",), ("b",))), ("t", ("r", ("a",), ("c",)))) == pytest.approx(0.75)
+    assert evaluation.teds(("a",), ("b",)) == 0
+
+
+def test_greedy_titles(spark):
+    from foliolake.operators.labeling import match_titles
+
+    truth = spark.createDataFrame([(1, 0, "Introduction"), (1, 1, "Methods"), (1, 2, "Results"), (2, 0, "Only")], "doc_id long, pos int, text string")
+    found = spark.createDataFrame([(1, 0, "Introductions"), (1, 1, "Introduction"), (1, 2, "Result"), (3, 0, "New")], "doc_id long, pos int, text string")
+    assert sorted(map(tuple, match_titles(truth, found).collect())) == [(1, 2, 1, 1), (2, 0, 0, 1), (3, 0, 1, 0)]
+
+
+def test_late_events_and_state(spark, tmp_path):
+    """A window that the watermark has passed takes no more events; state outlives batches."""
+    import datetime
+
+    from foliolake.streaming import windows
+
+    day = lambda d, h=1: datetime.datetime(2024, 1, d, h)
+    folder = tmp_path / "in.parquet"
+    schema = "user_id long, event_type string, ts timestamp, value double"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    put([(1, "a", day(1), 1.0), (2, "a", day(1), 1.0)])
+    put([(1, "a", day(3), 1.0)])
+    state, out = str(tmp_path / "s"), str(tmp_path / "o")
+    got = {r.user_id: (r.n, r.last_seen) for r in windows.stream_users(spark, str(folder), state, out).collect()}
+    assert got == {1: (2, day(3)), 2: (1, day(1))}
+    put([(2, "a", day(2), 1.0), (2, "a", day(1, 5), 1.0)])
+    got = {r.user_id: (r.n, r.last_seen) for r in windows.stream_users(spark, str(folder), state, out).collect()}
+    assert got == {1: (2, day(3)), 2: (3, day(2))}
