@@ -172,3 +172,11 @@ def depth_stack(lines: DataFrame, size: str = "size") -> DataFrame:
             yield frame[["doc_id", "line_id"]].assign(depth=depths)
 
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "line_id").mapInPandas(run, "doc_id long, line_id long, depth long")
+
+
+def with_contents(lines: DataFrame, toc: DataFrame, label: str = "label") -> DataFrame:
+    """Lines whose places (doc_id, page_id, line_id) are those of items of contents get the
+    label toc, and all are put in the order of pages and lines again (own: the old number)."""
+    items = toc.select("doc_id", "page_id", "line_id", F.lit(True).alias("__toc"))
+    rows = lines.join(items, ["doc_id", "page_id", "line_id"], "left").withColumn(label, F.when(F.col("__toc"), "toc").otherwise(F.col(label))).drop("__toc").withColumnRenamed("line_id", "own")
+    return rows.withColumn("line_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id", "own")) - 1).cast("long"))

@@ -103,3 +103,11 @@ def match_titles(truth: DataFrame, found: DataFrame, share: float = 0.85) -> Dat
         return pd.DataFrame({"doc_id": [key[0]], "correct": [correct], "added": [n - correct], "missed": [len(a) - correct]})
 
     return truth.groupBy("doc_id").cogroup(found.groupBy("doc_id")).applyInPandas(run, "doc_id long, correct long, added long, missed long")
+
+
+def with_truth(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """Lines with the depth of the true title (doc_id, page_id, text, depth) on their page
+    that reads the same but for case and blanks at the ends; null where there is none."""
+    key = lambda c: F.lower(F.trim(c)).alias("__key")
+    truth = titles.groupBy("doc_id", "page_id", key("text")).agg(F.min("depth").alias("depth"))
+    return lines.withColumn("__key", key("text")).join(truth, ["doc_id", "page_id", "__key"], "left").drop("__key")

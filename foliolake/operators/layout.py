@@ -166,3 +166,20 @@ def merge_tables(cells: DataFrame, pages: DataFrame, width_share: float = 0.03,
 def table_notes(links: DataFrame, lines: DataFrame) -> DataFrame:
     """Annotations of lines that tables belong to: links are (doc_id, object_id, line_id)."""
     return links.join(lines.select("doc_id", "line_id", "text"), ["doc_id", "line_id"]).select("doc_id", "line_id", F.lit("table").alias("name"), F.concat(F.lit("table_"), F.col("object_id").cast("string")).alias("value"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))
+
+
+def font_runs(chars: DataFrame) -> DataFrame:
+    """doc_id, line_id, start, end, style, bold, size: neighbours of one font and size (to
+    the point) as one run. chars: doc_id, line_id, place, font, size."""
+    w = Window.partitionBy("doc_id", "line_id").orderBy("place")
+    same = (F.col("font") == F.lag("font").over(w)) & (F.round("size") == F.round(F.lag("size").over(w)))
+    runs = chars.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
+    out = runs.groupBy("doc_id", "line_id", "run").agg(F.min("place").cast("long").alias("start"), (F.max("place") + 1).cast("long").alias("end"), F.min("font").alias("style"), F.round(F.min("size")).cast("long").alias("size"))
+    return out.select("doc_id", "line_id", "start", "end", "style", F.lower("style").contains("bold").alias("bold"), "size")
+
+
+def without_first_page_tables(tables: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (doc_id, table_id, page_id) that aren't on page 0, whose own reading counts, and
+    the annotations (doc_id, name, value) of all others but theirs."""
+    gone = tables.where("page_id = 0").select("doc_id", F.lit("table").alias("name"), F.col("table_id").cast("string").alias("value"))
+    return tables.where("page_id > 0"), notes.join(gone, ["doc_id", "name", "value"], "left_anti")

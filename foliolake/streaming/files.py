@@ -47,3 +47,19 @@ def user_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark)
     got = stream_users(attach(spark), f"{sf_dir}/events.parquet*", f"{path}/state", f"{path}/out")
     return got.select("user_id", "n", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+
+
+def handle_archives(spark: SparkSession, folder: str, out: str, state: str, depth: int = 3) -> DataFrame:
+    """Archives that come into a folder, each handled once: their members' lines, written by
+    batch; a batch that is run again replaces its own files."""
+    from ..sources import readers
+
+    spark = attach(spark)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 16).load(folder)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        found = readers.read_attachments(batch.select("path", "content"), depth).where("error IS NULL")
+        readers.read_items(found.select("path", "content")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    files.writeStream.foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

@@ -4,7 +4,7 @@ import zipfile
 import duckdb
 import pytest
 
-from foliolake import catalog, catalog_documents, catalog_lines, catalog_readers, catalog_relational, catalog_tree  # noqa: F401
+from foliolake import catalog, catalog_documents, catalog_lines, catalog_more, catalog_readers, catalog_relational, catalog_tree  # noqa: F401
 from foliolake.functions import text as T
 from foliolake.operators import evaluation, patterns, tree
 from foliolake.sources import readers
@@ -314,3 +314,19 @@ def test_late_events_and_state(spark, tmp_path):
     put([(2, "a", day(2), 1.0), (2, "a", day(1, 5), 1.0)])
     got = {r.user_id: (r.n, r.last_seen) for r in windows.stream_users(spark, str(folder), state, out).collect()}
     assert got == {1: (2, day(3)), 2: (3, day(2))}
+
+
+def test_archives_as_a_stream(spark, tmp_path):
+    from foliolake.streaming.files import handle_archives
+
+    (tmp_path / "in").mkdir()
+
+    def put(name, text):
+        with zipfile.ZipFile(tmp_path / "in" / name, "w") as z:
+            z.writestr("t.txt", text)
+
+    args = (str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+    put("a.zip", "one\ntwo\n")
+    assert sorted(r.text for r in handle_archives(spark, *args).collect()) == ["one\n", "two\n"]
+    put("b.zip", "three")
+    assert sorted(r.text for r in handle_archives(spark, *args).collect()) == ["one\n", "three\n", "two\n"]
