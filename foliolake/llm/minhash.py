@@ -206,7 +206,7 @@ def _left_links(buckets: DataFrame, parts: DataFrame, sizes: DataFrame, source:
     cut = lambda docs, n: F.ceil(F.greatest(docs / BLOCK_DOCS, n / BLOCK_SHINGLES)).cast("int")
     info = core.select("family", F.col("core.component").alias("core"), cut(F.col("docs") - F.col("core.docs"), F.col("n") - F.col("core.n")).alias("r"), cut(F.col("core.docs"), F.col("core.n")).alias("c"))
     info = info.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    placed = member.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int")).join(info, ["family", "salt"]).withColumn("rest", F.col("component") != F.col("core"))
+    placed = member.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int")).join(info.hint("merge"), ["family", "salt"]).withColumn("rest", F.col("component") != F.col("core"))
     placed = placed.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("c"))).cast("int"))
     # the core's blocks are numbered after the rest's; a pair of blocks has one key
     own = F.col("b") + F.when(F.col("rest"), 0).otherwise(F.col("r"))
