@@ -127,7 +127,7 @@ def _confirm(words: int, percent: int):
 
 
 #: A half of a block pair, and the members of a star that share a task.
-BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS, SALTS = 128, 256_000, 2_000, 32
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS, SALTS = 128, 256_000, 2_000, 16
 
 
 def across(sets: list[np.ndarray], labels: list[int], percent: int, halves: list[int] | None = None) -> list[tuple[int, int]]:
@@ -226,9 +226,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     at, before = new_path(spark, "edges"), None
     pairs = keep_at(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), at)
     for _ in range(rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # an edge's smaller end gives its larger end its own smallest neighbour. That end may be
+        # one root of very many edges, so it is met in SALTS parts
+        less = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        parted = pairs.withColumn("s", F.pmod(F.xxhash64("u", F.lit(2)), F.lit(SALTS)).cast("int"))
+        large = parted.join(less.hint("merge"), ["v", "s"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         old, at = at, new_path(spark, "stars")
