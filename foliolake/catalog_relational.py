@@ -55,8 +55,8 @@ def pdf_times(spark, d):
 
 @query("SELECT page_id, base64(encode(url)) AS encoded, true AS same FROM pages")
 def base64_columns(spark, d):
-    coded = F.base64(F.col("url").cast("binary"))
-    return table(spark, d, "pages").select("page_id", coded.alias("encoded"), (F.unbase64(coded).cast("string") == F.col("url")).alias("same"))
+    coded = T.base64_line(F.col("url").cast("binary"))
+    return table(spark, d, "pages").select("page_id", coded.alias("encoded"), F.unbase64(coded).cast("string").eqNullSafe(F.col("url")).alias("same"))
 
 
 @query(r"""WITH P AS (SELECT page_id, 'f' || page_id % 7 || CASE page_id % 3 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '.txt' ELSE '' END AS name, repeat('x', (page_id * 9 % 300)::INT) || '.html' AS long FROM pages),

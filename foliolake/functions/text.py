@@ -16,6 +16,11 @@ def uid(*parts: Column) -> Column:
     return F.md5(F.concat_ws("_", *[p.cast("string") for p in parts]).cast("binary"))
 
 
+def base64_line(c: Column) -> Column:
+    """Base64 on one line; base64() breaks it after every 76 characters."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
 def stem_and_extension(name: Column) -> tuple[Column, Column]:
     """File name split; double extensions of compressed files stay together."""
     ext = F.regexp_extract(name, r"(?i)((\.(txt|tar|mht|mhtml)\.gz)|(\.note\.pickle)|(\.[^./]+))$", 1)

@@ -330,3 +330,20 @@ def test_archives_as_a_stream(spark, tmp_path):
     assert sorted(r.text for r in handle_archives(spark, *args).collect()) == ["one\n", "two\n"]
     put("b.zip", "three")
     assert sorted(r.text for r in handle_archives(spark, *args).collect()) == ["one\n", "three\n", "two\n"]
+
+
+def against_sql(spark, name, folder, **tables):
+    """A query and its SQL on small tables of our own, as rows in order."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.sql(catalog.SQL[name])
+    return [sorted(map(repr, x)) for x in (map(tuple, catalog.QUERIES[name](spark, str(folder)).select(*want.columns).collect()), want.fetchall())]
+
+
+def test_base64_stays_on_one_line(spark, tmp_path):
+    urls = ["", "http://a.example/", *("http://a.example/" + "é" * n for n in (20, 21, 60, 500))]
+    pages = spark.createDataFrame([*enumerate(urls), (99, None)], "page_id long, url string")
+    got, want = against_sql(spark, "base64_columns", tmp_path, pages=pages)
+    assert got == want
