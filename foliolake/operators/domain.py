@@ -3,6 +3,7 @@ All but depth_stack are expressions and windows; none needs a join."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -154,24 +155,34 @@ def footnotes(lines: DataFrame, label: str = "label") -> DataFrame:
 
 def depth_stack(lines: DataFrame, size: str = "size") -> DataFrame:
     """doc_id, line_id, depth: how many lines are open that are larger by more than the
-    document's standard deviation. A fold over sorted rows: only the stack is kept."""
-    std = F.coalesce(F.stddev_pop(size).over(doc()), F.lit(0.0))
-    rows = lines.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_id").cast("long").alias("line_id"), F.coalesce(F.col(size), F.lit(0)).cast("double").alias("x"), std.alias("std"))
+    document's standard deviation. A fold over sorted rows: only the stack is kept. Each
+    document comes twice, first for its deviation, whose sums run in the order of lines and by
+    Welford's form as in the SQL: where a size lies just a deviation above, its last bit decides."""
+    known = F.when(F.col(size).isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = lines.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_id").cast("long").alias("line_id"), F.coalesce(F.col(size), F.lit(0)).cast("double").alias("x"), known.alias("pass")).repartition("doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, stack = None, []
+        now, n, mean, squares, std, stack = None, 0, 0.0, 0.0, None, []
         for frame in frames:
             depths = []
-            for d, x, std in zip(frame["doc_id"], frame["x"], frame["std"], strict=True):
+            for d, second, x in zip(*(frame[c].tolist() for c in ("doc_id", "pass", "x")), strict=True):
                 if d != now:
-                    now, stack = d, []
+                    now, n, mean, squares, std, stack = d, 0, 0.0, 0.0, None, []
+                if not second:
+                    n += 1
+                    last, mean = mean, mean + (x - mean) / n
+                    squares += (x - mean) * (x - last)
+                    continue
+                if std is None:
+                    std = math.sqrt(squares / n) if n else 0.0
                 while stack and stack[-1] <= x + std:
                     stack.pop()
                 depths.append(len(stack))
                 stack.append(x)
-            yield frame[["doc_id", "line_id"]].assign(depth=depths)
+            yield frame.loc[frame["pass"] == 1, ["doc_id", "line_id"]].assign(depth=depths)
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "line_id").mapInPandas(run, "doc_id long, line_id long, depth long")
+    twice = rows.withColumn("pass", F.explode("pass")).sortWithinPartitions("doc_id", "pass", "line_id")
+    return twice.mapInPandas(run, "doc_id long, line_id long, depth long")
 
 
 def with_contents(lines: DataFrame, toc: DataFrame, label: str = "label") -> DataFrame:

@@ -347,3 +347,29 @@ def test_base64_stays_on_one_line(spark, tmp_path):
     pages = spark.createDataFrame([*enumerate(urls), (99, None)], "page_id long, url string")
     got, want = against_sql(spark, "base64_columns", tmp_path, pages=pages)
     assert got == want
+
+
+def test_depth_stack_at_the_edge_of_the_deviation(spark, tmp_path):
+    # deviations of 12 exactly, where sums in doubles fall a bit short or not by their form and order
+    sizes = {1: [37.0, 28.0, 14.0, 2.0, 19.0, 30.0, 12.0, 38.0], 2: [5.0], 3: [9.0, 9.0, 9.0], 4: [50.0, 30.0, 10.0, 45.0, 1.0]}
+    rows = [(d, i, 0, 0, 0.0, x) for d, xs in sizes.items() for i, x in enumerate(xs)]
+    item = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double")
+    got, want = against_sql(spark, "depth_stack", tmp_path, lineitem=item)
+    assert got == want
+
+
+def test_depth_stack_of_missing_sizes_and_a_long_document(spark):
+    from statistics import pstdev
+
+    from foliolake.operators.domain import depth_stack
+
+    long, stack, want = [float(i * 7919 % 1000) if i % 50 else 2000.0 + i % 100 * 60 for i in range(30_000)], [], [0, 0, 0, 1, 1]
+    std = pstdev(long)
+    for x in long:
+        while stack and stack[-1] <= x + std:
+            stack.pop()
+        want.append(len(stack))
+        stack.append(x)
+    rows = [(1, 0, None), (1, 1, None), (2, 0, 9.0), (2, 1, None), (2, 2, 1.0), *((3, i, x) for i, x in enumerate(long))]
+    got = depth_stack(spark.createDataFrame(rows, "doc_id long, line_id long, size double").repartition(3)).collect()
+    assert [r.depth for r in sorted(got)] == want and max(want) > 1
