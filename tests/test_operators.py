@@ -373,3 +373,11 @@ def test_depth_stack_of_missing_sizes_and_a_long_document(spark):
     rows = [(1, 0, None), (1, 1, None), (2, 0, 9.0), (2, 1, None), (2, 2, 1.0), *((3, i, x) for i, x in enumerate(long))]
     got = depth_stack(spark.createDataFrame(rows, "doc_id long, line_id long, size double").repartition(3)).collect()
     assert [r.depth for r in sorted(got)] == want and max(want) > 1
+
+
+def test_equal_spans_are_one_island(spark):
+    from foliolake.operators.annotations import merge
+
+    rows = [(1, "A", 10, 42)] * 500 + [(1, "A", 42, 50)] * 500 + [(1, "A", 51, 60)] * 500 + [(2, "A", 5, 5)] * 2 + [(2, "B", 5, 6)]
+    got = merge(spark.createDataFrame(rows, "doc_id long, name string, start long, end long").repartition(7), ["doc_id", "name"])
+    assert sorted(map(tuple, got.collect())) == [(1, "A", 10, 50, 1000), (1, "A", 51, 60, 500), (2, "A", 5, 5, 2), (2, "B", 5, 6, 1)]
