@@ -119,7 +119,7 @@ SPANS = "A AS (SELECT l_orderkey AS doc_id, l_returnflag AS name, (l_partkey % 6
 def spans(spark, d):
     li = table(spark, d, "lineitem")
     start = (F.col("l_partkey") % 60).cast("long")
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("name"), start.alias("start"), (start + 1 + F.col("l_quantity")).cast("long").alias("end"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("name"), start.alias("start"), F.rint(start + 1 + F.col("l_quantity")).cast("long").alias("end"))
 
 
 @query(f"""WITH {SPANS}, B AS (SELECT *, max("end") OVER (PARTITION BY doc_id, name ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM A),
